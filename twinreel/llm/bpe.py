@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -25,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import map_texts
 
-#: Pieces in a worker's memo, which starts anew when it is full.
-MEMO_PIECES = 200_000
+#: Pieces in one of the two generations of a worker's memo.
+MEMO_PIECES = 400_000
 
 #: White space as Unicode has it; str.split() also cuts at the four separators
 #: below, which here belong to words.
@@ -45,72 +47,66 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PairTree:
-    """Minimum segment tree over the keys of adjacent pairs.
-
-    A key is ``rank * length + position``, so the smallest key is the leftmost
-    pair among those of lowest rank.
-    """
-
-    NONE = 1 << 62
-
-    def __init__(self, keys: list[int]):
-        self.size = size = 1 << (len(keys) - 1).bit_length()
-        tree = [self.NONE] * size + keys + [self.NONE] * (size - len(keys))
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        self.tree = tree
-
-    def put(self, position: int, key: int) -> None:
-        tree, i = self.tree, self.size + position
-        if tree[i] == key:
-            return
-        tree[i] = key
-        while i > 1:
-            other = tree[i ^ 1]
-            i >>= 1
-            key = key if key < other else other
-            if tree[i] == key:
-                return
-            tree[i] = key
-
-
 #: A pair of symbols and a rank with its merged symbol are packed into one
 #: number each; a symbol takes so many bits.
 BITS = 20
 
 
+#: Larger than any key.
+NONE = 1 << 62
+
+
 def merge(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """Apply ``merges``, packed (left, right) to packed (rank, merged), until
-    none applies: always the leftmost pair of the lowest rank."""
+    none applies: always the leftmost pair of the lowest rank.
+
+    A minimum segment tree holds ``rank * n + position`` of every adjacent
+    pair, so its root is that pair.  A merge ends the right symbol's pair and
+    renews those at its left end and before it: three point updates, each of
+    which climbs only as far as minima change.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
-    none, mask, get = PairTree.NONE, (1 << BITS) - 1, merges.get
+    get, mask = merges.get, (1 << BITS) - 1
     symbols = symbols[:]
     made = [get(a << BITS | b, -1) for a, b in zip(symbols, symbols[1:])]  # by left position
-    tree = PairTree([none if m < 0 else (m >> BITS) * n + i for i, m in enumerate(made)])
-    root, put = tree.tree, tree.put
+    size = 1 << (n - 2).bit_length()
+    tree = [NONE] * size
+    tree += [NONE if m < 0 else (m >> BITS) * n + i for i, m in enumerate(made)]
+    tree += [NONE] * (2 * size - len(tree))
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := root[1]) < none:
+    while (low := tree[1]) < NONE:
         left = low % n
         right = after[left]
         symbols[left] = merged = made[left] & mask
         symbols[right] = -1
         after[left] = following = after[right]
-        if right < n - 1:
-            put(right, none)
+        updates = []
         if following < n:
+            updates.append((right, NONE))
             before[following] = left
             made[left] = m = get(merged << BITS | symbols[following], -1)
-            put(left, none if m < 0 else (m >> BITS) * n + left)
+            updates.append((left, NONE if m < 0 else (m >> BITS) * n + left))
         else:
-            put(left, none)
+            updates.append((left, NONE))
         previous = before[left]
         if previous >= 0:
             made[previous] = m = get(symbols[previous] << BITS | merged, -1)
-            put(previous, none if m < 0 else (m >> BITS) * n + previous)
+            updates.append((previous, NONE if m < 0 else (m >> BITS) * n + previous))
+        for i, key in updates:
+            i += size
+            while tree[i] != key:
+                tree[i] = key
+                if i == 1:
+                    break
+                other = tree[i ^ 1]
+                if other < key:
+                    key = other
+                i >>= 1
     return [s for s in symbols if s >= 0]
 
 
@@ -123,7 +119,7 @@ class Memo:
         self.old: dict = {}
 
     def miss(self, key):
-        value = self.old.get(key)
+        value = self.young.get(key) or self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(self.young) >= self.limit:
@@ -132,11 +128,8 @@ class Memo:
         return value
 
     def all(self, keys: list) -> list:
-        out, miss = [], self.miss
-        for k in keys:
-            value = self.young.get(k)
-            out.append(miss(k) if value is None else value)
-        return out
+        miss = self.miss
+        return [self.young.get(k) or miss(k) for k in keys]
 
 
 @lru_cache(maxsize=2)
@@ -181,8 +174,7 @@ class WordBpe:
         self.tokens = [""] * (1 + max(chain(self.vocab.values(), self.special.values())))
         for token, i in chain(self.vocab.items(), self.special.items()):
             self.tokens[i] = token
-        self.piece_memo = Memo(self.piece)
-        self.word_memo = Memo(self.word)
+        self.memo = Memo(self.piece)
 
     def pieces(self, text: str) -> list[str]:
         """Runs without white space: no token, merge or composition of
@@ -191,27 +183,34 @@ class WordBpe:
             return self.cut.findall(text)
         return text.split()
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         """Ids of one pre-token; a byte that the vocabulary lacks is left out."""
         data = word.encode("utf-8")
-        symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        return merge([s for s in symbols if s is not None], self.merges)
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        if None in symbols:
+            symbols = [s for s in symbols if s is not None]
+        return array("I", merge(symbols, self.merges)).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        ids: list[int] = []
+        if piece.isascii():
+            plain = piece.lower()
+            if plain.isalpha():
+                return self.word(piece) if plain == piece else self.memo.miss(plain)
+        out: list[bytes] = []
         for part in self.has_special.split(piece) if "<|" in piece else (piece,):
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(array("I", [self.special[part]]).tobytes())
             elif part:
                 # lower case letter by letter: no rule looks at a letter's neighbours
                 plain = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
                 words = [plain] if plain.isalpha() else self.words.findall(plain)
-                ids += chain.from_iterable(self.word_memo.all(words))
-        return np.array(ids, "<u4").tobytes()
+                out += [self.memo.miss(w) if w.isascii() and w.isalpha() else self.word(w) for w in words]
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.piece_memo.all(self.pieces(text)))
+        return b"".join(self.memo.all(self.pieces(text)))
 
     def decode(self, ids: bytes) -> str:
         """The tokens with a space between; the file names no decoder."""
@@ -246,6 +245,8 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "id", ids_col: str
     """``id, decoded`` of rows of packed ids; null ids decode to the empty string."""
     import pandas as pd
 
+    ship(encoded.sparkSession)
+
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         bpe = load(tokenizer)

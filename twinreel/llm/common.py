@@ -10,6 +10,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Used only where a session names no shared folder, as in local tests.
 FALLBACK_SHARED_DIR = "/tmp/twinreel-shared"
 
@@ -33,6 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -76,7 +84,7 @@ def map_texts(
                 )
 
     narrow = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return narrow.mapInArrow(run, schema)
+    return map_arrow(narrow, run, schema)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, materialize, text_or_empty
+from .common import BATCH_BYTES, map_arrow, materialize, text_or_empty
 
 #: Bytes of text that a bucket holds before it is split.
 BUCKET_BYTES = 32 << 20
@@ -156,13 +156,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("bigint")
     owners = max(slots, default=0) + 1
     routed = (
-        keyed.mapInArrow(combine, PARTIAL)
+        map_arrow(keyed, combine, PARTIAL)
         .withColumn("bucket", F.get(table, slot.cast("int")))
         .repartition(max(owners, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
         .sortWithinPartitions("bucket", "key")
         .select("key", "text", "keep_id", "n")
     )
-    return materialize(routed.mapInArrow(own, INDEX), "extendible-hash")
+    return materialize(map_arrow(routed, own, INDEX), "extendible-hash")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

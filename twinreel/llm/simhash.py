@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_texts, materialize
+from .common import connected_components, map_arrow, map_texts, materialize
 
 #: x^11+x^10+x^6+x^5+x^4+x^2+1 generates the Golay code (fixed value).
 GENERATOR = 0b110001110101
@@ -179,7 +179,7 @@ def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], name: str)
                 row, key, side = keys(np.stack(rest, axis=1).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(node[row]), pa.array(check[row])], schema=arrow)
 
-    made = nodes.select("node", "check", *words).mapInArrow(emit, "key bigint, side tinyint, node bigint, check bigint")
+    made = map_arrow(nodes.select("node", "check", *words), emit, "key bigint, side tinyint, node bigint, check bigint")
     by_key = Window.partitionBy("key")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "check")).over(by_key)
     spread = made.select("*", pivot.alias("p"), F.max("node").over(by_key).alias("last"), F.min("node").over(by_key).alias("first"))
