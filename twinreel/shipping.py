@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,10 +19,11 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        name = f"{folder}/{here.name}.zip"
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as bundle:
-            for file in sorted(here.rglob("*.py")):
-                bundle.write(file, file.relative_to(here.parent))
-        context.addPyFile(name)
+    folder = tempfile.mkdtemp(prefix="ship-")  # executors fetch from it as they start
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/{here.name}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for file in sorted(here.rglob("*.py")):
+            bundle.write(file, file.relative_to(here.parent))
+    context.addPyFile(name)
     _shipped.add(context.applicationId)
