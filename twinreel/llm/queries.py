@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, simhash, toxicity
+from . import bpe, exact_dedup, licenses, simhash, toxicity, warc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +42,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("bundle", "frame", "frame_offset", "record_bytes", "url")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -50,8 +64,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.oracle(), "op6_exact_dedup": OP6_SQL}
+    return {"op2_licenses": licenses.oracle(), "op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL}

@@ -135,7 +135,7 @@ def gather(texts: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.frombuffer(f, np.int32) for _, f in rows], np.array([i % 2 for i, _ in rows], bool)
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-3, seed: int = 0) -> Model:
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 0) -> Model:
     """Minimise the non-negative risk with the logistic loss by Adam."""
     n_pos, n_rest = int(positive.sum()), int((~positive).sum())
     if not n_pos or not n_rest:
