@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, simhash, toxicity, warc
+from . import bpe, exact_dedup, licenses, sharding, simhash, toxicity, warc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +42,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("bundle", "frame", "frame_offset", "record_bytes", "url")
 
@@ -64,7 +71,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc}
+    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
