@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, sharding, simhash, toxicity, warc
+from . import bpe, decontam, exact_dedup, licenses, sharding, simhash, toxicity, warc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -53,6 +53,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("bundle", "frame", "frame_offset", "record_bytes", "url")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
@@ -71,7 +76,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding, "op8_warc": op8_warc}
+    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,8 +33,8 @@ from ..shipping import ship
 from .common import map_texts
 
 #: Most confirmed examples and most unlabelled texts that a model is fitted on.
-MAX_POSITIVE = 4_000
-MAX_UNLABELLED = 12_000
+MAX_POSITIVE = 3_000
+MAX_UNLABELLED = 8_000
 #: Hashed feature space, and features that a model keeps.
 SPACE = 1 << 20
 MAX_FEATURES = 2_048
