@@ -21,6 +21,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -243,8 +244,6 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """``id, decoded`` of rows of packed ids; null ids decode to the empty string."""
-    import pandas as pd
-
     ship(encoded.sparkSession)
 
     @F.pandas_udf("string")

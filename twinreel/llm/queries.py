@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, licenses, sharding, simhash, toxicity, warc
+from . import bpe, decontam, exact_dedup, licenses, sharding, simhash, suffix_dedup, token_counts, toxicity, warc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: words go in at half, forty characters go
+    at a third of what then is there, and the beginning is replaced."""
+    docs = table(spark, sf_dir, "documents")
+    n = "coalesce(length(text), 0)"
+    edits = f"""array(
+      named_struct('start', cast({n} div 2 as bigint), 'end', cast({n} div 2 as bigint), 'insert', ' [an edit, made later] '),
+      named_struct('start', cast({n} div 3 as bigint), 'end', cast({n} div 3 + 40 as bigint), 'insert', ''),
+      named_struct('start', 0L, 'end', 5L, 'insert', "It's "))"""
+    found = token_counts.counts(docs.select("doc_id", "text", F.expr(edits).alias("edits")), BYTE_TOKENIZER, edits_col="edits")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.groups(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
@@ -53,6 +67,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("bundle", "frame", "frame_offset", "record_bytes", "url")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -76,7 +95,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op10_decontamination": op10_decontamination}
+    return {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_token_counts": op5_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,6 +25,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,8 +211,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
 def score_column(docs: DataFrame, model: Model, name: str = "__toxicity", text_col: str = "text") -> DataFrame:
     """``docs`` with the score as a further column."""
-    import pandas as pd
-
     ship(docs.sparkSession)
     memo: dict = {}
 
