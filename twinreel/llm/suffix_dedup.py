@@ -111,18 +111,18 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
-def suffix_ranks(symbols: np.ndarray, least: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``least`` symbols or more; symbols
-    are from 0 to 511, and the end sorts before them."""
+def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes, no two the same (which Kasai's algorithm relies
+    on); symbols are from 0 to 511, and the end sorts before them."""
     n, packed = len(symbols), 7
-    padded = np.append(symbols.astype(np.int64), np.zeros(packed, np.int64))
+    padded = np.append(symbols.astype(np.int64) + 1, np.zeros(packed, np.int64))
     keys = np.zeros(n, np.int64)
     for i in range(packed):
         keys = keys << 9 | padded[i : i + n]
     order = np.argsort(keys, kind="stable")
     rank, where = _groups(keys[order], np.zeros(n, np.int64), order, n)
     h = packed
-    while h < least and len(where):
+    while len(where):
         follow = where + h
         inside = follow < n
         key = np.full(len(where), -1, np.int64)
@@ -193,7 +193,7 @@ def repeated_strings(contexts: list[bytes], length: int) -> list[np.ndarray]:
     symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.int16)
     for data, end, size in zip(contexts, ends.tolist(), sizes.tolist(), strict=True):
         symbols[end - size : end - 1] = np.frombuffer(data, np.uint8).astype(np.int16) + 1
-    rank = suffix_ranks(symbols, length)
+    rank = suffix_ranks(symbols)
     order = np.argsort(rank, kind="stable")
     shared = common_prefixes(symbols, order, rank, ends - sizes, sizes, length)
     full = shared >= length
@@ -290,8 +290,8 @@ def search(contexts: DataFrame, length: int) -> DataFrame:
         for (anchor, shard, shards), group in divided.items():
             hashes = np.array(sorted(group), np.int64)
             owners = np.array([group[x] for x in hashes.tolist()], np.int64)
-            bounds = ((np.arange(1, shards) * (1 << 64)) // shards - (1 << 63)).astype(object)
-            cuts = [0, *np.searchsorted(hashes, np.array([int(b) for b in bounds], np.int64)).tolist(), len(hashes)]
+            bounds = np.array([(i << 64) // shards - (1 << 63) for i in range(1, shards)], np.int64)
+            cuts = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
             out += [(None, None, None, None, anchor, p, shard, hashes[a:b].tobytes(), owners[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         return out
 
