@@ -119,7 +119,7 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     keys = np.zeros(n, np.int64)
     for i in range(packed):
         keys = keys << 9 | padded[i : i + n]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     rank, where = _groups(keys[order], np.zeros(n, np.int64), order, n)
     h = packed
     while len(where):
@@ -127,7 +127,7 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
         inside = follow < n
         key = np.full(len(where), -1, np.int64)
         key[inside] = rank[follow[inside]]
-        order = np.lexsort((key, rank[where]))
+        order = np.argsort(rank[where] * (n + 1) + key + 1)  # within groups, which keep their places
         where = where[order]
         rank, where = _refine(rank, where, key[order])
         h *= 2
@@ -157,9 +157,10 @@ def _refine(rank: np.ndarray, where: np.ndarray, key: np.ndarray) -> tuple[np.nd
     return rank, where[~alone]
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
-    """Kasai: the prefix, up to ``cap``, that each suffix shares with the one
-    before it in ``order``; all contexts advance side by side."""
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
+    """Kasai: the prefix, up to ``cap``, that a suffix shares with the one
+    before it in ``order``, for the first ``sizes`` suffixes of each context;
+    all contexts advance side by side."""
     n = len(symbols)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
@@ -194,8 +195,9 @@ def repeated_strings(contexts: list[bytes], length: int) -> list[np.ndarray]:
     for data, end, size in zip(contexts, ends.tolist(), sizes.tolist(), strict=True):
         symbols[end - size : end - 1] = np.frombuffer(data, np.uint8).astype(np.int16) + 1
     rank = suffix_ranks(symbols)
-    order = np.argsort(rank, kind="stable")
-    shared = common_prefixes(symbols, order, rank, ends - sizes, sizes, length)
+    order = np.empty(len(rank), np.int64)
+    order[rank] = np.arange(len(rank))
+    shared = common_prefixes(symbols, order, ends - sizes, sizes - length, length)
     full = shared >= length
     repeated = full.copy()
     repeated[order[:-1]] |= full[order[1:]]
