@@ -1,40 +1,24 @@
-"""What several operators share: shared storage, Arrow mapping, components."""
+"""What several operators share."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..shipping import ship
+from ..storage import materialize, shared_dir
 
-#: Used only where a session names no shared folder, as in local tests.
-FALLBACK_SHARED_DIR = "/tmp/twinreel-shared"
+__all__ = ["connected_components", "map_arrow", "map_texts", "materialize", "row_slices", "shared_dir", "text_or_empty"]
 
 #: Text bytes that a mapper turns into one output batch.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, without a final slash."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a reread of files, never a
-    second run of the plan above.
-    """
-    path = f"{shared_dir(df.sparkSession)}/twinreel/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
@@ -85,43 +69,3 @@ def map_texts(
 
     narrow = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return map_arrow(narrow, run, schema)
-
-
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v: bigint).
-
-    Alternates large-star and small-star steps, whose number grows with the
-    logarithm of the longest path; every round is written to the shared
-    folder.  The root of a component is its smallest node.  Self loops vanish.
-    """
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """Hang what is above (large) or not above (small) each node on its
-        smallest neighbour."""
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both if large else both.where("v < u")
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hung = near.join(low, "u")
-        if large:
-            out = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    pairs = materialize(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name
-    )
-    before = mark(pairs)
-    while before[0]:
-        pairs = materialize(star(star(pairs, True), False), name)
-        after = mark(pairs)
-        if after == before:
-            break
-        before = after
-    roots = pairs.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(
-        roots.select(F.col("root").alias("node"), "root").distinct()
-    )
