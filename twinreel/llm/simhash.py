@@ -182,9 +182,9 @@ def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], name: str)
     made = map_arrow(nodes.select("node", "check", *words), emit, "key bigint, side tinyint, node bigint, check bigint")
     by_key = Window.partitionBy("key")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "check")).over(by_key)
-    spread = made.select("*", pivot.alias("p"), F.max("node").over(by_key).alias("last"), F.min("node").over(by_key).alias("first"))
+    spread = made.select("*", pivot.alias("p"), F.max("node").over(by_key).alias("last"), F.min("node").over(by_key).alias("first"), F.bit_or("side").over(by_key).alias("sides"))
     return materialize(
-        spread.where("first <> last").select("key", "side", "node", "check", F.col("p.node").alias("pivot"), F.col("p.check").alias("pivot_check")),
+        spread.where(f"first <> last and sides = {NEAR_SIDE | ALL_SIDE}").select("key", "side", "node", "check", F.col("p.node").alias("pivot"), F.col("p.check").alias("pivot_check")),
         name,
     )
 

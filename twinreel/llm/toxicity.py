@@ -37,7 +37,7 @@ from .common import map_texts
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 8_000
 #: Hashed feature space, and features that a model keeps.
-SPACE = 1 << 20
+SPACE = 1 << 19
 MAX_FEATURES = 2_048
 #: Standard deviations by which a feature must be likelier in positives.
 MIN_GAIN = 5.0
@@ -132,7 +132,7 @@ def gather(texts: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
 
     flagged = texts.select((F.col("id") * 2 + F.col("positive").cast("long")).alias("id"), "text")
     found = map_texts(flagged, make, "id bigint, f binary", pa.schema([("id", pa.int64()), ("f", pa.binary())]), "id", "text")
-    rows = sorted((r["id"], bytes(r["f"])) for r in found.collect())
+    rows = sorted((r["id"], bytes(r["f"])) for r in found.toLocalIterator())
     return [np.frombuffer(f, np.int32) for _, f in rows], np.array([i % 2 for i, _ in rows], bool)
 
 
@@ -144,11 +144,12 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int
     counts = np.zeros((2, 4 * SPACE), np.int32)
     for r, p in zip(rows, positive, strict=True):
         counts[int(p), r] += 1
-    share_p, share_u = counts[1] / n_pos, (counts[0] + 0.5) / (n_rest + 0.5)
+    seen = np.flatnonzero(counts[1] >= 3)
+    share_p, share_u = counts[1, seen] / n_pos, (counts[0, seen] + 0.5) / (n_rest + 0.5)
     gain = (share_p - share_u) / np.sqrt(share_u / n_pos)  # in standard deviations
-    gain[counts[1] < 3] = 0
     order = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(order[gain[order] >= MIN_GAIN]).astype(np.int32)
+    chosen = np.sort(seen[order[gain[order] >= MIN_GAIN]]).astype(np.int32)
+    del counts
     x = np.zeros((len(rows), len(chosen)), np.uint8)
     for i, r in enumerate(rows):
         at = np.searchsorted(chosen, r)
