@@ -31,7 +31,7 @@ from ..shipping import ship
 from .common import map_texts
 
 #: Pieces in one of the two generations of a worker's memo.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 
 #: White space as Unicode has it; str.split() also cuts at the four separators
 #: below, which here belong to words.

@@ -16,7 +16,7 @@ from ..storage import materialize, shared_dir
 __all__ = ["connected_components", "map_arrow", "map_texts", "materialize", "row_slices", "shared_dir", "text_or_empty"]
 
 #: Text bytes that a mapper turns into one output batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -67,7 +67,7 @@ def directory(histogram: dict[int, int], max_depth: int = MAX_DEPTH, capacity: i
     return depth, slots
 
 
-def combine(batches: Iterator[pa.RecordBatch], limit: int = 4 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def combine(batches: Iterator[pa.RecordBatch], limit: int = 8 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Merge equal texts of a mapper, ``limit`` bytes of distinct ones at once."""
     seen: dict[tuple[int, str], list[int]] = {}
     held = 0

@@ -62,7 +62,7 @@ class Extractor:
     """Features of a text as ``4 * hash + level``, or as columns of ``known``
     where that is given; words are memoised up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, known: np.ndarray | None = None):
         self.columns = None if known is None else {int(f): i for i, f in enumerate(known)}
