@@ -6,6 +6,7 @@ they become arrays only in sinks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import pandas as pd
@@ -109,15 +110,16 @@ def remove_false_positives(groups: DataFrame, rejected: DataFrame) -> DataFrame:
     """``group_id, path``: in path order, members that are rejected with none of
     those kept before; groups of one go.  ``rejected`` has ``lo, hi``."""
     inside = groups.select("group_id", F.col("path").alias("lo")).join(rejected, "lo").join(groups.select("group_id", F.col("path").alias("hi")), ["group_id", "hi"])
-    peers = inside.groupBy("group_id", F.col("hi").alias("path")).agg(F.collect_set("lo").alias("lower"))
+    peers = inside.groupBy("group_id", F.col("hi").alias("path")).agg(F.to_json(F.collect_set("lo")).alias("lower"))
     rows = groups.select("group_id", "path").join(peers, ["group_id", "path"], "left")
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[str] = []
-        for path, lower in sorted(zip(pdf["path"], pdf["lower"], strict=True), key=lambda r: r[0]):
-            if lower is None or not set(lower) & set(kept):
+        for path, lower in sorted(zip(pdf["path"], pdf["lower"].fillna("[]"), strict=True)):
+            if not set(json.loads(lower)) & set(kept):
                 kept.append(path)
-        return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "path": kept if len(kept) > 1 else []})
+        rows = [(pdf["group_id"].iloc[0], p) for p in kept if len(kept) > 1]
+        return pd.DataFrame(rows, columns=["group_id", "path"])
 
     return rows.groupBy("group_id").applyInPandas(keep, "group_id bigint, path string")
 
