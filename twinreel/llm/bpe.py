@@ -18,7 +18,7 @@ import os
 import unicodedata
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ from .common import map_texts
 
 #: Pieces in one of the two generations of a worker's memo.
 MEMO_PIECES = 250_000
+#: Pieces that a worker keeps from one task to the next.
+KEPT_PIECES = 60_000
 
 #: White space as Unicode has it; str.split() also cuts at the four separators
 #: below, which here belong to words.
@@ -128,6 +130,10 @@ class Memo:
         self.young[key] = value
         return value
 
+    def shrink(self, keep: int = KEPT_PIECES) -> None:
+        """Forget all but what came first, as frequent pieces do."""
+        self.old, self.young = {}, dict(islice(self.young.items(), keep))
+
     def all(self, keys: list) -> list:
         miss = self.miss
         return [self.young.get(k) or miss(k) for k in keys]
@@ -236,6 +242,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             encoded = [bpe.encode(t) for t in texts]
             return [ids, encoded, [bpe.decode(e) for e in encoded]]
 
+        step.close = bpe.memo.shrink
         return step
 
     typed = docs.select(F.col(id_col).cast("bigint" if id_type == "bigint" else "string").alias("id"), F.col(text_col).alias("text"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.components import connected_components
 from ..shipping import ship
@@ -19,10 +22,24 @@ __all__ = ["connected_components", "map_arrow", "map_texts", "materialize", "row
 BATCH_BYTES = 4 << 20
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def release() -> None:
+    """Hand unused memory of a worker, which lives on, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -62,10 +79,8 @@ def map_texts(
         for batch in batches:
             for part in row_slices(batch, 1):
                 columns = step(part.column(0).to_pylist(), part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)],
-                    schema=arrow,
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        getattr(step, "close", lambda: None)()
 
     narrow = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return map_arrow(narrow, run, schema)

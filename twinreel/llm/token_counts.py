@@ -213,6 +213,7 @@ def counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     out.append((doc, tokens, pretokens, tree.total(), tree.pretokens(), tree.encoded - cut, len(changes)))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=COUNTS)
+        bpe.memo.shrink()
 
     return map_arrow(rows, run, SCHEMA)
 

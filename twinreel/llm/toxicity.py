@@ -22,16 +22,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import map_texts
+from .common import map_arrow, map_texts, row_slices
 
 #: Most confirmed examples and most unlabelled texts that a model is fitted on.
 MAX_POSITIVE = 3_000
@@ -203,21 +202,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_texts(typed, make, "id bigint, score double", pa.schema([("id", pa.int64()), ("score", pa.float64())]), "id", "text")
 
 
-def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the rows that score ``threshold``
     or more."""
-    scored = score_column(docs, model)
-    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract = Extractor(model.features)
+        for batch in batches:
+            for part in row_slices(batch, at):
+                scores = model.scores([extract(t or "") for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-def score_column(docs: DataFrame, model: Model, name: str = "__toxicity", text_col: str = "text") -> DataFrame:
-    """``docs`` with the score as a further column."""
-    ship(docs.sparkSession)
-    memo: dict = {}
-
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        extract = memo.setdefault("x", Extractor(model.features))
-        return pd.Series(model.scores([extract(t or "") for t in texts]), dtype="float64")
-
-    return docs.withColumn(name, scored(F.col(text_col)))
+    return map_arrow(docs, run, docs.schema)
