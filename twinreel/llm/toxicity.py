@@ -96,8 +96,8 @@ class Model:
     bias: float
 
     def scores(self, rows: list[list[int]]) -> list[float]:
-        raw = [self.bias + float(self.weights[r].sum()) for r in rows]
-        return [1 / (1 + float(np.exp(-max(-500.0, min(500.0, x))))) for x in raw]
+        raw = np.array([self.bias + float(self.weights[r].sum()) for r in rows], np.float64)
+        return np.where(np.isneginf(raw), 0.0, _sigmoid(raw)).tolist()
 
 
 def held_out(id_col: str = "doc_id") -> Column:
