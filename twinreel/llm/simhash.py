@@ -162,9 +162,10 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
     return map_texts(typed, make, "id bigint, fp bigint", pa.schema([("id", pa.int64()), ("fp", pa.int64())]), "id", "text")
 
 
-def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], name: str) -> DataFrame:
-    """``key, side, node, check, pivot, pivot_check`` of the keys that several
-    nodes share, with the node of least hash as the pivot of its key.
+def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], radius: int, name: str) -> DataFrame:
+    """``key, side, node, check, pivot, pivot_check, crowd`` of the keys that
+    several nodes share, with the node of least hash as the pivot of its key.  A
+    key of two nodes has one pair, so it is listed only if the two are near.
 
     ``nodes`` has a bigint ``node``, a bigint ``check`` by which pairs are
     sieved, and the fingerprint in ``words``.
@@ -182,9 +183,12 @@ def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], name: str)
     made = map_arrow(nodes.select("node", "check", *words), emit, "key bigint, side tinyint, node bigint, check bigint")
     by_key = Window.partitionBy("key")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "check")).over(by_key)
-    spread = made.select("*", pivot.alias("p"), F.max("node").over(by_key).alias("last"), F.min("node").over(by_key).alias("first"), F.bit_or("side").over(by_key).alias("sides"))
+    spread = made.select("*", pivot.alias("p"), F.max("node").over(by_key).alias("last"), F.min("node").over(by_key).alias("first"), F.bit_or("side").over(by_key).alias("sides"), F.count("*").over(by_key).alias("crowd"))
+    near = f"node <> p.node and bit_count(check ^ p.check) <= {radius}"
     return materialize(
-        spread.where(f"first <> last and sides = {NEAR_SIDE | ALL_SIDE}").select("key", "side", "node", "check", F.col("p.node").alias("pivot"), F.col("p.check").alias("pivot_check")),
+        spread.where(f"first <> last and sides = {NEAR_SIDE | ALL_SIDE} and (crowd > 2 or {near})").select(
+            "key", "side", "node", "check", F.col("p.node").alias("pivot"), F.col("p.check").alias("pivot_check"), "crowd"
+        ),
         name,
     )
 
@@ -196,11 +200,11 @@ def components(nodes: DataFrame, keys: Callable, words: list[str], radius: int,
     ``verify``, which filters distinct pairs (u, v), keeps them.
     """
     verify = verify or (lambda pairs: pairs)
-    crowd = crowded_keys(nodes, keys, words, f"{name}-keys")
+    crowd = crowded_keys(nodes, keys, words, radius, f"{name}-keys")
     near = crowd.where(F.expr(f"node <> pivot and bit_count(check ^ pivot_check) <= {radius}"))
     spokes = materialize(verify(near.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()), f"{name}-spokes")
     roots = connected_components(spokes, f"{name}-roots")
-    placed = crowd.join(roots, "node", "left").select("key", "side", "node", "check", F.coalesce("root", "node").alias("root"))
+    placed = crowd.where("crowd > 2").join(roots, "node", "left").select("key", "side", "node", "check", F.coalesce("root", "node").alias("root"))
     by_key = Window.partitionBy("key")
     split = placed.select("*", F.min("root").over(by_key).alias("low"), F.max("root").over(by_key).alias("high")).where("low <> high")
     split = materialize(split.drop("low", "high"), f"{name}-split")
