@@ -31,9 +31,9 @@ from ..shipping import ship
 from .common import map_texts
 
 #: Pieces in one of the two generations of a worker's memo.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 400_000
 #: Pieces that a worker keeps from one task to the next.
-KEPT_PIECES = 60_000
+KEPT_PIECES = 100_000
 
 #: White space as Unicode has it; str.split() also cuts at the four separators
 #: below, which here belong to words.
@@ -135,8 +135,8 @@ class Memo:
         self.old, self.young = {}, dict(islice(self.young.items(), keep))
 
     def all(self, keys: list) -> list:
-        miss = self.miss
-        return [self.young.get(k) or miss(k) for k in keys]
+        get, miss = self.young.get, self.miss  # a generation that ends meanwhile still answers
+        return [get(k) or miss(k) for k in keys]
 
 
 @lru_cache(maxsize=2)
