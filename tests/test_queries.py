@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from twinreel.plans import oracles, queries
@@ -13,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 def plain(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple("" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v).removesuffix(".0") for v in row) for row in frame.itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v).removesuffix(".0") for v in row) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
