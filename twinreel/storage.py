@@ -15,6 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of intermediate files removed when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -23,4 +29,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/twinreel/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
