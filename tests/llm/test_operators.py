@@ -205,6 +205,23 @@ def test_simhash_components(spark, docs, empty):
     assert {x["id"]: x["component_id"] for x in got} == {i: find(i) for i in fp}
 
 
+def test_a_shared_key_links_in_either_direction(spark):
+    """Keys of three nodes each: one that has the key on its near side only,
+    one within the radius on the other side, and one far from both."""
+
+    def keys(words):
+        word = words[:, 0].astype(np.int64)
+        return np.arange(len(word)), word // 3, np.where(word % 3 == 0, simhash.NEAR_SIDE, simhash.ALL_SIDE).astype(np.int8)
+
+    r = random.Random(4)
+    rows = [(node, (0, 1, (1 << 62) - 1)[word % 3], word) for word, node in enumerate(r.sample(range(10_000), 120))]
+    nodes = spark.createDataFrame(rows, "node bigint, check bigint, word bigint")
+    linked = {x["node"]: x["root"] for x in simhash.components(nodes, keys, ["word"], 1, name="either").collect()}
+    for at in range(0, 120, 3):
+        a, b, far = (node for node, _, _ in rows[at : at + 3])
+        assert far not in linked and linked[a] == linked[b]
+
+
 def test_near_dedup(spark, docs, empty):
     assert near_dedup.groups(docs).count() == len(ODD) and near_dedup.groups(empty).count() == 0
     kept = near_dedup.keep_one(docs)

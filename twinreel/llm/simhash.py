@@ -209,8 +209,8 @@ def components(nodes: DataFrame, keys: Callable, words: list[str], radius: int,
     split = placed.select("*", F.min("root").over(by_key).alias("low"), F.max("root").over(by_key).alias("high")).where("low <> high")
     split = materialize(split.drop("low", "high"), f"{name}-split")
     a, b = split.where(f"(side & {NEAR_SIDE}) > 0").alias("a"), split.where(f"(side & {ALL_SIDE}) > 0").alias("b")
-    meet = F.expr(f"a.key = b.key and a.node < b.node and a.root <> b.root and bit_count(a.check ^ b.check) <= {radius}")
-    crossing = verify(a.join(b, meet).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct())
+    meet = F.expr(f"a.key = b.key and a.node <> b.node and a.root <> b.root and bit_count(a.check ^ b.check) <= {radius}")
+    crossing = verify(a.join(b, meet).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct())
     return connected_components(spokes.select("u", "v").unionByName(crossing.select("u", "v")), f"{name}-all")
 
 
