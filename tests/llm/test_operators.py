@@ -236,6 +236,33 @@ def test_near_dedup(spark, docs, empty):
     assert got == {i: i % 100 for i in got}
 
 
+def test_near_dedup_against_all_pairs(spark):
+    """Pairs of all similarities from 0.7 to 0.95, and a crowd of copies that
+    are similar to some of each other only."""
+    r = random.Random(11)
+    rows, crowd = [], prose(150, 9)
+    for i in range(300):
+        words = (prose(r.randint(40, 200), 2000 + i) if i < 200 else crowd).split()
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(max(1, round(len(words) * r.uniform(0.005, 0.035)))):
+            words[r.randrange(len(words))] = r.choice(LEXICON)
+        rows.append((2 * i + 1, " ".join(words)))
+    sets = {i: set(near_dedup.shingle_set(t).tolist()) for i, t in rows}
+    root, close = {i: i for i in sets}, 0
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in sets:
+        for j in sets:
+            if i < j and (both := len(sets[i] & sets[j])) and 5 * both >= 4 * len(sets[i] | sets[j]):
+                close += i < 400 and 10 * both < 9 * len(sets[i] | sets[j])
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert close > 50
+    got = {x["id"]: x["group_id"] for x in near_dedup.groups(odd(spark, rows)).collect()}
+    assert got == {i: find(i) for i in got}
+
+
 def test_token_counts(spark, docs, empty):
     import tiktoken
 
