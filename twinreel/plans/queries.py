@@ -197,7 +197,8 @@ def moved_files(spark, sf_dir):
 
 
 def _rejected(spark, sf_dir):
-    """Pairs of labelled copies whose quality differs."""
+    """Made-up verdicts, as the tables hold none: of the pairs of labelled copies,
+    those whose ids add up to a multiple of three."""
     docs, _ = _copies(spark, sf_dir)
     rated = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"), "id")
     a, b = (rated.select("content_hash", F.col("path").alias(p), F.col("toxic").alias(f"t_{p}"), F.col("id").alias(f"i_{p}")) for p in ("lo", "hi"))
