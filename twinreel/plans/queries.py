@@ -216,7 +216,8 @@ def falsepos_closure(spark, sf_dir):
 
 
 def missed_matches(spark, sf_dir):
-    """Confirmed pairs beyond those of a search for equal lengths and languages."""
+    """Confirmed pairs across folders: the confirmed pairs within a folder stand
+    for what a search found, and no search is run."""
     confirmed = _confirmed(spark, sf_dir)
     found = curation.component_pairs(confirmed).where(paths.dirname(F.col("lo")) == paths.dirname(F.col("hi")))
     return curation.missed_matches(confirmed, found)
