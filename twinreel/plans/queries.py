@@ -263,8 +263,9 @@ def remove_falsepos(spark, sf_dir):
 
 
 def _cache_and_listing(spark, sf_dir):
-    """The log's earlier half as a cache, with every seventh path an error, and
-    what is listed later: the last times, without every fifth user."""
+    """A made-up older state: the events of even ids as a cache, where paths of
+    a length divisible by seven are errors, and what is listed: the last times of
+    the whole log, without the paths of a length divisible by five."""
     log = file_log(spark, sf_dir)
     known = log.where("event_id % 2 = 0").groupBy("path").agg(F.max("mtime").alias("mtime"))
     known = known.withColumn("err_kind", F.when(F.length("path") % 7 == 0, "NotVideo"))
