@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     )
     before = mark(pairs)
     while before[0]:
-        pairs = materialize(star(star(pairs, True), False), name)
+        last, pairs = pairs, materialize(star(star(pairs, True), False), name)
+        discard(last)
         after = mark(pairs)
         if after == before:
             break

@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where a session names no shared folder, as in local tests.
+#: Used only where a session names no shared folder and runs in one process.
 FALLBACK_SHARED_DIR = "/tmp/twinreel-shared"
+#: Has Spark remove the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, without a final slash."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share, without a final slash.
+
+    Only a session within one process may do without ``spark.checkpoint.dir``:
+    elsewhere a local folder would be another one on each machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or FALLBACK_SHARED_DIR).rstrip("/")
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Have a folder of intermediate files removed when the application ends."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    folder, fs = _folder(spark, path)
+    fs.deleteOnExit(folder)
+
+
+@contextmanager
+def shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go when their query ends, not when the driver
+    happens to collect its garbage.  For queries that run once."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +56,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a reread of files, never a
     second run of the plan above.
     """
-    path = f"{shared_dir(df.sparkSession)}/twinreel/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    remove_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/twinreel/{name}-{uuid.uuid4().hex}"
+    with shuffles_end_with_query(spark):
+        df.write.mode("overwrite").parquet(path)
+    remove_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that no later query reads."""
+    for table in tables:
+        folder, fs = _folder(table.sparkSession, table.scratch_path)
+        fs.delete(folder, True)
