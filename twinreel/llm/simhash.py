@@ -87,6 +87,8 @@ def golay_keys(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 NEAR_SIDE, ALL_SIDE = 1, 2
+#: Nodes of which one task makes the keys.
+TASK_NODES = 100_000
 
 
 def rows_of(shape: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +182,9 @@ def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], radius: int
                 row, key, side = keys(np.stack(rest, axis=1).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(node[row]), pa.array(check[row])], schema=arrow)
 
-    made = map_arrow(nodes.select("node", "check", *words), emit, "key bigint, side tinyint, node bigint, check bigint")
+    # a node becomes some sixty rows, so tasks are dealt by nodes and not by bytes
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // TASK_NODES + 1)
+    made = map_arrow(nodes.select("node", "check", *words).repartition(tasks, "node"), emit, "key bigint, side tinyint, node bigint, check bigint")
     by_key = Window.partitionBy("key")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "check")).over(by_key)
     spread = made.select("*", pivot.alias("p"), F.max("node").over(by_key).alias("last"), F.min("node").over(by_key).alias("first"), F.bit_or("side").over(by_key).alias("sides"), F.count("*").over(by_key).alias("crowd"))
