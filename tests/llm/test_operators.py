@@ -379,19 +379,55 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, contexts):
     r = random.Random(contexts)
     crowd = [(i, prose(30, i) + " " + " ".join(PASSAGE.split()[r.randint(0, 30) : 40 + r.randint(0, 50)]) + " " + prose(20, 900 + i)) for i in range(60)]
     for rows, table in ((ODD, docs), (crowd, odd(spark, crowd))):
-        got = suffix_dedup.remove(table).collect() if rows is ODD else suffix_dedup.remove(table, length=60).collect()
-        assert Counter((x["id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got) == removal(rows, 400 if rows is ODD else 60)
+        length, passage = (400, 51) if rows is ODD else (60, 9)
+        got = suffix_dedup.remove(table, length=length, passage=passage).collect()
+        assert Counter((x["id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got) == removal(rows, length)
+        assert Counter((x["id"], x["n_passages"]) for x in got) == passages(rows, passage)
     assert suffix_dedup.remove(empty).count() == 0
 
 
+def passages(rows, size):
+    """Maximal runs of words that windows which other ids have too cover."""
+    ids = defaultdict(set)
+    for i, t in rows:
+        words = (t or "").encode().split()
+        for k in range(len(words) - size + 1):
+            ids[tuple(words[k : k + size])].add(i)
+    out = Counter()
+    for i, t in rows:
+        words, covered = (t or "").encode().split(), set()
+        for k in range(len(words) - size + 1):
+            if len(ids[tuple(words[k : k + size])]) > 1:
+                covered |= set(range(k, k + size))
+        out[i, sum(k - 1 not in covered for k in covered)] += 1
+    return out
+
+
 def test_repeated_strings_against_counting():
     r = random.Random(0)
     for _ in range(40):
         contexts = [bytes(r.choice(b"ab\0\xff") for _ in range(r.randint(4, 60))) for _ in range(r.randint(1, 6))]
         length = r.randint(1, 4)
         seen = Counter(c[i : i + length] for c in contexts for i in range(len(c) - length + 1))
-        for c, flags in zip(contexts, suffix_dedup.repeated_strings(contexts, length), strict=True):
+        arrays = [np.frombuffer(c, np.uint8) for c in contexts]
+        for c, flags in zip(contexts, suffix_dedup.repeated_strings(arrays, length), strict=True):
             assert flags.tolist() == [seen[c[i : i + length]] > 1 for i in range(len(c) - length + 1)]
+        owners, where = [r.randint(0, 2) for _ in contexts], defaultdict(set)
+        for c, owner in zip(contexts, owners, strict=True):
+            for i in range(len(c) - length + 1):
+                where[c[i : i + length]].add(owner)
+        wide = [a.astype(np.uint64) << np.uint64(40) for a in arrays]
+        for c, flags in zip(contexts, suffix_dedup.repeated_strings(wide, length, owners), strict=True):
+            assert flags.tolist() == [len(where[c[i : i + length]]) > 1 for i in range(len(c) - length + 1)]
+
+
+def test_words_as_symbols(monkeypatch):
+    text = " \n".join(LEXICON[:300]).encode() + b"\t"
+    whole = suffix_dedup.Words().symbols(text)
+    assert len(whole) == 300 and len(set(whole.tolist())) == len(set(LEXICON[:300]))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)  # words that reach beyond a piece
+    assert suffix_dedup.Words().symbols(text).tolist() == whole.tolist()
+    assert len(suffix_dedup.Words().symbols(b" \n ")) == len(suffix_dedup.Words().symbols(b"")) == 0
 
 
 def test_decontamination(spark, docs, empty):

@@ -1,12 +1,17 @@
-"""Removal of repeated byte strings by suffix arrays.
+"""Removal of repeated byte strings by suffix arrays, and passages of words that
+documents share.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere
-else in the table, in the same document or another.
+else in the table, in the same document or another.  Besides, ``n_passages``
+counts the maximal runs of words of a row that strings of PASSAGE words cover
+which rows of other ids have as well, whatever their bytes, for a passage of few
+letters a word is shorter than LENGTH.  Both are the same search over another
+kind of symbol: bytes, or 64-bit hashes of the words that white space parts.
 
 *Shards.*  Equal strings must meet, so a string is sent to the shard of its
-anchor: of its k-grams (k = GRAM) the one of least hash, the leftmost of
-several.  Strings of one document that share an anchor follow one another and
-make one context, the bytes from the first to the end of the last.  An anchor
+anchor: of its k-grams (k = half the string) the one of least hash, the leftmost
+of several.  Strings of one document that share an anchor follow one another and
+make one context, the symbols from the first to the end of the last.  An anchor
 whose hash occurs once cannot hold a repeated string; contexts that occur
 several times are repeated as a whole.  Both are settled by counting hashes,
 and only anchors with different contexts go on, with one copy of each context.
@@ -16,7 +21,7 @@ Larsson-Sadakane refinement sorts its suffixes in numpy: symbols are packed to
 begin with, and each round doubles the sorted prefix by ranks, but moves only
 suffixes whose rank is shared.  Kasai's algorithm, run over all contexts side
 by side, gives the common prefixes of neighbours; a string is repeated if it
-shares LENGTH bytes with either neighbour.
+shares its whole length with either neighbour.
 
 *Merging.*  An anchor with more than SHARD_CONTEXTS contexts is divided over
 several shards.  These hand on their distinct strings as sorted hashes, cut at
@@ -24,9 +29,14 @@ fixed bounds by binary search, and what lies between two bounds is looked up
 in the other shards' runs, again by binary search.
 
 Hashes of contexts and strings have 64 bits of BLAKE2b and are compared within
-an anchor only.  Null and empty texts have no bytes and lose none; texts shorter
-than LENGTH lose none.  Rows that repeat an id and a text each count and get
-the same result.  An empty table gives an empty result.
+an anchor only, itself a hash of 64 bits over half the string, so that two
+strings are taken for equal by 128 bits, and by their symbols within a shard.
+Null and empty texts have no bytes and lose none; texts shorter than LENGTH lose
+none.  Rows that repeat an id and a text each count and get the same result.
+Rows without an id count as one document's where passages are concerned.  Very
+long texts are anchored piece by piece, each reaching into the next, so that no
+string is cut.  Ties between equal grams go to the leftmost.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,12 +51,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import map_arrow, materialize, row_slices, text_or_empty
+from .common import discard, map_arrow, materialize, row_slices, text_or_empty
 
 LENGTH = 400
-GRAM = 200
+#: Words of the passages that are looked for across documents.
+PASSAGE = 51
 #: Contexts of one anchor that one shard holds at most.
-SHARD_CONTEXTS = 4096
+SHARD_CONTEXTS = 512
 #: Symbols that one suffix array is built over, unless one context is longer.
 BLOCK_SYMBOLS = 1 << 20
 #: Bytes of a text that are anchored at once; a position takes 24 bits.
@@ -61,38 +72,89 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Anchors:
-    """Anchors of a text's strings."""
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
-    BASE = 0x9E3779B97F4A7C15
-    INVERSE = pow(BASE, -1, 1 << 64)
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, gram
+class Rolling:
+    """Polynomial hashes of parts of a sequence of 64-bit values."""
+
+    def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
-        self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(self.BASE))
 
-    def _powers(self, n: int) -> None:
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        n = len(values) + 1
         if len(self.up) < n:
-            n = 1 << n.bit_length()
-            step = np.full(n, self.BASE, np.uint64)
-            back = np.full(n, self.INVERSE, np.uint64)
+            size = 1 << n.bit_length()
+            step, back = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
             step[0] = back[0] = 1
             self.up, self.down = np.multiply.accumulate(step), np.multiply.accumulate(back)
+        out = np.zeros(n, np.uint64)
+        np.cumsum(values * self.up[: n - 1], out=out[1:])
+        return out
+
+    def parts(self, sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+        return mix((sums[ends] - sums[starts]) * self.down[starts])
+
+
+class Bytes:
+    """A text as its bytes."""
+
+    width, across = 1, False
+
+    def __init__(self):
+        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(text, np.uint8)
+
+    def values(self, symbols: np.ndarray) -> np.ndarray:
+        return self.table[symbols]
+
+
+class Words:
+    """A text as hashes of its words; only strings of other documents count."""
+
+    width, across = 8, True
 
-    def of(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    def __init__(self):
+        self.rolling, self.letters = Rolling(), Bytes()
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        letter = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+        edges = np.flatnonzero(letter[1:] != letter[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        out = [np.zeros(0, np.uint64)]
+        at = 0
+        while at < len(starts):  # words that start in one piece; the last may reach beyond
+            low = int(starts[at])
+            to = int(np.searchsorted(starts, low + PIECE))
+            sums = self.rolling.sums(self.letters.values(data[low : int(ends[to - 1])]))
+            out.append(self.rolling.parts(sums, starts[at:to] - low, ends[at:to] - low))
+            at = to
+        return np.concatenate(out)
+
+    def values(self, symbols: np.ndarray) -> np.ndarray:
+        return symbols
+
+
+class Anchors:
+    """Anchors of a text's strings."""
+
+    def __init__(self, unit: Bytes | Words, length: int, gram: int):
+        self.unit, self.length, self.gram, self.rolling = unit, length, gram, Rolling()
+
+    def of(self, symbols: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(hash, anchor, first start, last start) of every context."""
-        for at in range(0, max(0, len(data) - self.length + 1), PIECE):
-            piece = np.frombuffer(data, np.uint8, min(len(data) - at, PIECE + self.length - 1), at)
-            hashes, places, first, last = self._piece(piece)
+        for at in range(0, max(0, len(symbols) - self.length + 1), PIECE):
+            hashes, places, first, last = self._piece(self.unit.values(symbols[at : at + PIECE + self.length - 1]))
             yield from zip(hashes.tolist(), (places + at).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
 
-    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n, gram = len(data), self.gram
-        self._powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[:n], out=sums[1:])
-        grams = mix((sums[gram:] - sums[:-gram]) * self.down[: n - gram + 1])
+    def _piece(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n, gram = len(values), self.gram
+        sums = self.rolling.sums(values)
+        grams = self.rolling.parts(sums, slice(0, n - gram + 1), slice(gram, n + 1))
         keys = (grams & np.uint64(~POSITION & (1 << 64) - 1)) | np.arange(len(grams), dtype=np.uint64)
         width = self.length - gram + 1
         # sliding minimum from running minima of blocks, forwards and backwards
@@ -113,12 +175,14 @@ def digest(data: bytes) -> int:
 
 def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     """Ranks of all suffixes, no two the same (which Kasai's algorithm relies
-    on); symbols are from 0 to 511, and the end sorts before them."""
-    n, packed = len(symbols), 7
+    on); symbols are not negative, and the end sorts before them."""
+    n = len(symbols)
+    bits = int(symbols.max(initial=0) + 1).bit_length()
+    packed = 63 // bits
     padded = np.append(symbols.astype(np.int64) + 1, np.zeros(packed, np.int64))
     keys = np.zeros(n, np.int64)
     for i in range(packed):
-        keys = keys << 9 | padded[i : i + n]
+        keys = keys << bits | padded[i : i + n]
     order = np.argsort(keys)
     rank, where = _groups(keys[order], np.zeros(n, np.int64), order, n)
     h = packed
@@ -168,7 +232,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray,
     longest_first = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[longest_first], sizes[longest_first]
     held = np.zeros(len(starts), np.int64)
-    padded = np.append(symbols, np.full(cap + 1, 511, symbols.dtype))
+    padded = np.append(symbols, np.full(cap + 1, symbols.max(initial=0) + 1, symbols.dtype))
     for offset in range(int(sizes[0]) if len(sizes) else 0):
         live = int(np.searchsorted(-sizes, -offset, side="left"))  # contexts longer than offset
         at = starts[:live] + offset
@@ -186,21 +250,32 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray,
     return out
 
 
-def repeated_strings(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context a flag for every string of ``length`` bytes in it:
-    whether it starts anywhere else in these contexts."""
+def repeated_strings(contexts: list[np.ndarray], length: int, documents: list[int] | None = None) -> list[np.ndarray]:
+    """For each context a flag for every string of ``length`` symbols in it:
+    whether it starts anywhere else in these contexts, or, given the contexts'
+    ``documents``, in one of another document."""
     sizes = np.array([len(c) + 1 for c in contexts], np.int64)
     ends = np.cumsum(sizes)
-    symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.int16)
-    for data, end, size in zip(contexts, ends.tolist(), sizes.tolist(), strict=True):
-        symbols[end - size : end - 1] = np.frombuffer(data, np.uint8).astype(np.int16) + 1
+    symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    every = np.concatenate(contexts)
+    numbers = every.astype(np.int32) if every.dtype == np.uint8 else np.unique(every, return_inverse=True)[1]
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    symbols[inside] = numbers + 1
     rank = suffix_ranks(symbols)
     order = np.empty(len(rank), np.int64)
     order[rank] = np.arange(len(rank))
     shared = common_prefixes(symbols, order, ends - sizes, sizes - length, length)
     full = shared >= length
-    repeated = full.copy()
-    repeated[order[:-1]] |= full[order[1:]]
+    if documents is None:
+        repeated = full.copy()
+        repeated[order[:-1]] |= full[order[1:]]
+    else:
+        heads = np.flatnonzero(~full[order])  # classes of suffixes that share the length
+        owner = np.repeat(np.array(documents, np.int64), sizes)[order]
+        several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads) if len(heads) else np.zeros(0, bool)
+        repeated = np.empty(len(rank), bool)
+        repeated[order] = np.repeat(several, np.diff(np.append(heads, len(rank))))
     return [repeated[end - size : max(end - size, end - length)] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -213,12 +288,14 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 ANCHOR = "id bigint, h bigint, anchor bigint, context bigint, place bigint, first bigint, last bigint"
 ANCHOR_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in ANCHOR.split(", ")])
 SPAN = "id bigint, h bigint, first bigint, last bigint"
+#: Stands for "several documents" beside any document's number.
+MANY = -(1 << 62)
 CONTEXT_ARROW = pa.schema([("anchor", pa.int64()), ("shard", pa.int64()), ("shards", pa.int64()), ("settled", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
 CONTEXT = "anchor bigint, shard bigint, shards bigint, settled boolean, id bigint, h bigint, first bigint, bytes binary"
 FOUND = "id bigint, h bigint, first bigint, last bigint, anchor bigint, part int, shard bigint, hashes binary, owners binary"
 FOUND_ARROW = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("shard", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary())])
-RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-RESULT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, n_passages bigint, kept binary"
+RESULT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_passages", pa.int64()), ("kept", pa.binary())])
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -226,15 +303,17 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def anchors(rows: DataFrame, unit: type, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Anchors(length, gram)
+        kind = unit()
+        find, width = Anchors(kind, length, gram), kind.width
         for batch in batches:
             for part in row_slices(batch, 2):
                 out = []
                 for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data = text.encode()
-                    out += [(doc, h, a, digest(data[s : t + length]), p, s, t) for a, p, s, t in find.of(data)]
+                    symbols = kind.symbols(text.encode())
+                    data = memoryview(symbols).cast("B") if len(symbols) else b""
+                    out += [(doc, h, a, digest(data[s * width : (t + length) * width]), p, s, t) for a, p, s, t in find.of(symbols)]
                 yield table_of(out, ANCHOR_ARROW)
 
     return map_arrow(rows, run, ANCHOR)
@@ -253,8 +332,8 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("id", "h", squeeze("text").alias("z"))
 
 
-def context_rows(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
-    """The bytes of the contexts that go into suffix arrays."""
+def context_rows(rows: DataFrame, needed: DataFrame, unit: type, length: int) -> DataFrame:
+    """The symbols of the contexts that go into suffix arrays, as bytes."""
     wanted = needed.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "shard", "shards", "settled", "first", "last")).alias("wanted"))
     # repeated rows ask once
     joined = packed(rows).join(wanted, ["id", "h"]).dropDuplicates(["id", "h"])
@@ -262,107 +341,138 @@ def context_rows(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, kind = zstandard.ZstdDecompressor().decompress, unit()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out = []
                 for doc, h, z, wants in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                    data = unpack(z)
-                    out += [(w["anchor"], w["shard"], w["shards"], w["settled"], doc, h, w["first"], data[w["first"] : w["last"] + length]) for w in wants]
+                    data = kind.symbols(unpack(z))
+                    out += [(w["anchor"], w["shard"], w["shards"], w["settled"], doc, h, w["first"], data[w["first"] : w["last"] + length].tobytes()) for w in wants]
                 yield table_of(out, CONTEXT_ARROW)
 
     return map_arrow(joined.select("id", "h", "z", "wanted"), run, CONTEXT)
 
 
-def search(contexts: DataFrame, length: int) -> DataFrame:
+def search(contexts: DataFrame, unit: type, length: int) -> DataFrame:
     """Spans that a shard finds by its suffix array, and the sorted strings of
     anchors that several shards divide."""
+    width, across = unit.width, unit.across
 
     def solve(block: list[tuple]) -> list[tuple]:
         out, divided = [], {}
-        for (anchor, shard, shards, settled, doc, h, first, data), flags in zip(block, repeated_strings([b[-1] for b in block], length), strict=True):
+        symbols = [np.frombuffer(b[-1], np.uint64 if width == 8 else np.uint8) for b in block]
+        owners = [MANY - i if b[3] else b[4] for i, b in enumerate(block)] if across else None
+        for (anchor, shard, shards, settled, doc, h, first, data), flags in zip(block, repeated_strings(symbols, length, owners), strict=True):
             if not settled:
                 out += [(doc, h, first + a, first + b, None, None, None, None, None) for a, b in runs(flags)]
             if shards > 1:
-                group = divided.setdefault((anchor, shard, shards), {})
+                group = divided.setdefault((anchor, shard, shards), set())
                 for i, known in enumerate(flags.tolist()):
-                    string = digest(data[i : i + length])
-                    if string not in group:
-                        group[string] = (0, 0, -1) if known or settled else (doc, h, first + i)
+                    string = digest(data[i * width : (i + length) * width])
+                    group.add((string, 0, 0, -1) if known or settled else (string, doc, h, first + i))
         for (anchor, shard, shards), group in divided.items():
-            hashes = np.array(sorted(group), np.int64)
-            owners = np.array([group[x] for x in hashes.tolist()], np.int64)
+            rows = np.array(sorted(group), np.int64).reshape(-1, 4)
             bounds = np.array([(i << 64) // shards - (1 << 63) for i in range(1, shards)], np.int64)
-            cuts = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
-            out += [(None, None, None, None, anchor, p, shard, hashes[a:b].tobytes(), owners[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            cuts = [0, *np.searchsorted(rows[:, 0], bounds).tolist(), len(rows)]
+            out += [(None, None, None, None, anchor, p, shard, rows[a:b, 0].tobytes(), rows[a:b, 1:].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != last and size >= BLOCK_SYMBOLS:
+                if row[:2] != last and size >= BLOCK_SYMBOLS * width:
                     yield table_of(solve(block), FOUND_ARROW)
                     block, size = [], 0
                 last = row[:2]
                 block.append(row)
-                size += len(row[-1]) + 1
+                size += len(row[-1]) + width
         if block:
             yield table_of(solve(block), FOUND_ARROW)
 
     return map_arrow(contexts, run, FOUND)
 
 
-def merge(found: DataFrame, length: int) -> DataFrame:
-    """Spans of strings that several shards of an anchor have: each sorted run
-    is looked up in the others of its part by binary search."""
+def merge(found: DataFrame, unit: type) -> DataFrame:
+    """Spans of strings that several shards of an anchor have, or, across
+    documents, that have several documents: each sorted run is looked up in all
+    of its part by binary search."""
+    across = unit.across
+
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(x, np.int64) for x in pdf["hashes"]]
-        owners = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in pdf["owners"]]
-        whole = np.sort(np.concatenate(hashes))  # a string is once in each shard that has it
-        rows = []
-        for mine, own in zip(hashes, owners, strict=True):
-            copies = np.searchsorted(whole, mine, side="right") - np.searchsorted(whole, mine, side="left")
-            rows.append(own[(copies > 1) & (own[:, 2] >= 0)])
-        out = np.concatenate(rows)
+        hashes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["hashes"]])
+        owners = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in pdf["owners"]])
+        known = owners[:, 2] < 0
+        if across:  # what several documents have is no document's own
+            owner = np.where(known, MANY - np.arange(len(owners)), owners[:, 0])
+            order = np.lexsort((owner, hashes))
+            heads = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
+            counts = np.diff(np.append(heads, len(order)))
+            several = np.empty(len(order), bool)
+            several[order] = np.repeat(owner[order][heads] != owner[order][heads + counts - 1], counts)
+        else:  # a string is once in each shard that has it
+            whole = np.sort(hashes)
+            several = np.searchsorted(whole, hashes, side="right") - np.searchsorted(whole, hashes, side="left") > 1
+        out = owners[several & ~known]
         return pd.DataFrame({"id": out[:, 0], "h": out[:, 1], "first": out[:, 2], "last": out[:, 2]})
 
     runs_of = found.where("anchor is not null").select("anchor", "part", "hashes", "owners")
     return runs_of.groupBy("anchor", "part").applyInPandas(look, SPAN)
 
 
-def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated(rows: DataFrame, unit: type, length: int, gram: int) -> DataFrame:
     """``id, h, first, last``: runs of starts of repeated strings."""
-    every = materialize(anchors(rows, length, gram), "suffix-anchors")
+    every = materialize(anchors(rows, unit, length, gram), "suffix-anchors")
+    # what several rows have, or, across documents, rows of several ids
+    several = (F.min("id") != F.max("id")) if unit.across else (F.count("*") > 1)
     one = F.min(F.struct("id", "h", "first", "last")).alias("one")
-    contexts = every.groupBy("anchor", "context").agg(F.count("*").alias("n"), one)
-    totals = contexts.groupBy(F.col("anchor").alias("of")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    status = materialize(
-        contexts.join(totals, F.col("anchor") == F.col("of")).select("anchor", "context", "n", "kinds", "one.*"), "suffix-contexts"
-    )
-    whole = every.join(status.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("id", "h", "first", "last")
+    ids = [F.min("id").alias("low"), F.max("id").alias("high")] if unit.across else []
+    contexts = every.groupBy("anchor", "context").agg(several.alias("settled"), F.count("*").alias("n"), one, *ids)
+    shared = F.col("low") != F.col("high") if unit.across else F.col("total") > 1
+    ids = [F.min("low").alias("low"), F.max("high").alias("high")] if unit.across else []
+    totals = contexts.groupBy(F.col("anchor").alias("of")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *ids).where(shared).select("of", "kinds")
+    status = materialize(contexts.join(totals, F.col("anchor") == F.col("of")).select("anchor", "context", "settled", "kinds", "one.*"), "suffix-contexts")
+    whole = every.join(status.where("settled").select("anchor", "context"), ["anchor", "context"]).select("id", "h", "first", "last")
+    mixed = status.where("kinds > 1")
+    if unit.across:  # a document may have a context several times over
+        own = every.join(mixed.where("not settled").select("anchor", "context", "settled", "kinds"), ["anchor", "context"])
+        columns = ["anchor", "context", "settled", "kinds", "id", "h", "first", "last"]
+        mixed = mixed.where("settled").select(columns).unionByName(own.select(columns))
     shards = F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("bigint")
-    needed = status.where("kinds > 1").select("anchor", F.pmod("context", shards).alias("shard"), shards.alias("shards"), (F.col("n") > 1).alias("settled"), "id", "h", "first", "last")
+    needed = mixed.select("anchor", F.pmod("context", shards).alias("shard"), shards.alias("shards"), "settled", "id", "h", "first", "last")
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    contexts = context_rows(rows, needed, length).repartition(spread, "anchor", "shard").sortWithinPartitions("anchor", "shard")
-    found = materialize(search(contexts, length), "suffix-found")
-    partial = found.where("anchor is null").select("id", "h", "first", "last")
-    out = whole.unionByName(partial)
+    contexts = context_rows(rows, needed, unit, length).repartition(spread, "anchor", "shard").sortWithinPartitions("anchor", "shard")
+    found = materialize(search(contexts, unit, length), "suffix-found")
+    out = whole.unionByName(found.where("anchor is null").select("id", "h", "first", "last"))
     if not found.where("anchor is not null").isEmpty():
-        out = out.unionByName(merge(found, length))
-    return out
+        out = out.unionByName(merge(found, unit))
+    spans = materialize(out.distinct(), "suffix-spans")
+    discard(every, status, found)
+    return spans
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
-    """``id, n_bytes, n_removed, n_spans, kept`` of every row: bytes before, bytes
-    removed, maximal removed runs, and the bytes that remain."""
-    gram = gram or max(1, length // 2)
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, passage: int = PASSAGE) -> DataFrame:
+    """``id, n_bytes, n_removed, n_spans, n_passages, kept`` of every row: bytes
+    before, bytes removed, maximal removed runs, passages that other documents
+    have too, and the bytes that remain."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     keyed = rows.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))  # null ids find their spans as well
-    spans = repeated(keyed, length, gram).groupBy("id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    strings = repeated(keyed, Bytes, length, gram or max(1, length // 2)).withColumn("words", F.lit(False))
+    passages = repeated(keyed, Words, passage, passage // 2 + 1).withColumn("words", F.lit(True))
+    spans = strings.unionByName(passages).groupBy("id", "h").agg(F.collect_list(F.struct("words", "first", "last")).alias("spans"))
     joined = packed(keyed).join(spans, ["id", "h"], "left").select("id", "z", "spans")
 
+    def merged(found: list, size: int) -> list[tuple[int, int]]:
+        """Maximal covered runs; runs that touch are one."""
+        out: list[list[int]] = []
+        for first, last in sorted(found):
+            if out and first <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], last + size)
+            else:
+                out.append([first, last + size])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -371,15 +481,14 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             for at in range(0, batch.num_rows, 64):
                 out = []
                 for doc, z, found in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                    data, kept, end, count = unpack(z), [], 0, 0
-                    for first, last in sorted((s["first"], s["last"]) for s in found or ()):
-                        if first > end or not count:  # runs that touch are one
-                            kept.append(data[end:first])
-                            count += 1
-                        end = max(end, last + length)
-                    kept.append(data[end:])
-                    rest = b"".join(kept)
-                    out.append((None if doc == -(1 << 63) else doc, len(data), len(data) - len(rest), count, rest))
+                    data, kept, end = unpack(z), [], 0
+                    gone = merged([(s["first"], s["last"]) for s in found or () if not s["words"]], length)
+                    for first, last in gone:
+                        kept.append(data[end:first])
+                        end = last
+                    rest = b"".join([*kept, data[end:]])
+                    shared = merged([(s["first"], s["last"]) for s in found or () if s["words"]], passage)
+                    out.append((None if doc == -(1 << 63) else doc, len(data), len(data) - len(rest), len(gone), len(shared), rest))
                 yield table_of(out, RESULT_ARROW)
 
     return map_arrow(joined, run, RESULT)
