@@ -2,22 +2,29 @@
 
 A document's windows have the length of a benchmark item in words (the whole
 document where it is shorter) and start at every word.  A window's SimHash is
-compared with the items' through multi-index Hamming blocks: of eight blocks of
-a fingerprint within RADIUS bits, one is within RADIUS // 8 bits, and the index
-lists for each block and value the items that near, so no item within the
-radius is missed.  What it yields is verified by the weighted Jaccard
-similarity of five-word shingles, a shingle's weight being how often it occurs.
-
-Windows that share fewer shingles with an item than the similarity needs are
-never fingerprinted: with at least THRESHOLD of the item's shingles in common
-as a bound, running counts of the positions whose shingle is the item's rule
-them out exactly.  So the work follows the leaks and not all windows.
+looked up in the items of its length through multi-index Hamming blocks: of
+eight blocks of a fingerprint within RADIUS bits, one is within RADIUS // 8
+bits, and the index lists for each block and value the items that near, so no
+item within the radius is missed.  What it yields is verified by the weighted
+Jaccard similarity of five-word shingles, a shingle's weight being how often it
+occurs.  At the similarity that is asked for, about a tenth of the weight may
+differ on either side, which turns some 15 in a hundred bits, ten of 64, with a
+deviation of three, so RADIUS bits are beyond four deviations.
+
+Regions that have too few shingles of the benchmark, whichever item they belong
+to, are not fingerprinted: a window of w shingles and an item of t have a
+similarity of s only if they share s (w + t) / (1 + s), which running counts of
+the places of known shingles rule out exactly.  Which items a window may have
+is for the blocks to say.
 
 Words are runs of letters, digits and underscores in lower case.  Items of
 fewer than five words have one shingle, all their words.  Items and documents
 without words match nothing; nulls are such.  The benchmark is a stated query
 set: it is taken in blocks of at most BLOCK_ITEMS items, each of which reads
 all documents.  Items that repeat an id are told apart; their rows are merged.
+Each row of a document that is repeated gets its own rows.  Of windows of equal
+similarity the leftmost is returned.  Very long texts are searched whole.  An
+empty table of either kind gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +47,9 @@ THRESHOLD = 0.8
 RADIUS = 23
 BLOCKS = 8
 #: Items of the benchmark that are looked for in one pass over the documents.
-BLOCK_ITEMS = 2_000
+BLOCK_ITEMS = 20_000
+#: Windows that are fingerprinted at once.
+CHUNK = 4096
 
 WORDS = re.compile(r"\w+").findall
 
@@ -81,101 +90,101 @@ def bits_of(codes: np.ndarray) -> np.ndarray:
     return np.unpackbits(mix(codes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
 
+def hamming_blocks(prints: np.ndarray) -> np.ndarray:
+    """For each block and value which fingerprints are within RADIUS // BLOCKS
+    bits of it there: (BLOCKS, 256, fingerprints)."""
+    values = np.arange(256, dtype=np.uint8)
+    return np.bitwise_count(values[None, :, None] ^ prints.T[:, None, :]) <= RADIUS // BLOCKS
+
+
 class Index:
     """A block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
-        self.ids, self.names, bags = [], [], []
+        self.names, self.bags = [], []
+        by_size: dict[int, list[int]] = defaultdict(list)
+        prints, known = [], defaultdict(set)
         for name, text in items:
             words = WORDS((text or "").lower())
             if words:
                 numbers = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
-                self.ids.append(np.array(numbers, np.int64))
+                codes = shingle_codes(np.array(numbers, np.int64))
+                by_size[len(words)].append(len(self.names))
+                known[min(WIDTH, len(words))].update(codes.tolist())
+                prints.append(np.packbits(bits_of(codes).sum(0) > 0))
                 self.names.append(name)
-                bags.append(Counter(shingles(numbers)))
-        self.bags, self.sizes = bags, [len(i) for i in self.ids]
-        self.prints = np.zeros((len(bags), 8), np.uint8)
-        holders: dict[int, set[int]] = defaultdict(set)
-        for item, numbers in enumerate(self.ids):
-            codes = shingle_codes(numbers)
-            self.prints[item] = np.packbits(bits_of(codes).sum(0) > 0)
-            for code in codes.tolist():
-                holders[code].add(item)
-        self.codes = np.array(sorted(holders), np.uint64)
-        self.holders = [np.array(sorted(holders[c])) for c in sorted(holders)]
-        self.short = sorted({n for n in self.sizes if n < WIDTH})
-        near = [sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(8), k)]
-        self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        for item, print_ in enumerate(self.prints):
-            for block, value in enumerate(print_.tolist()):
-                for flip in near:
-                    self.blocks[block][value ^ flip].append(item)
-
-    def within(self, print_: np.ndarray) -> set[int]:
-        """Items whose fingerprint is within RADIUS bits."""
-        found = {item for block, value in enumerate(print_.tolist()) for item in self.blocks[block].get(value, ())}
-        return {i for i in found if int(np.bitwise_count(self.prints[i] ^ print_).sum()) <= RADIUS}
+                self.bags.append(Counter(shingles(numbers)))
+        self.prints = np.array(prints, np.uint8).reshape(-1, 8)
+        #: items, their fingerprints and their blocks for each length in words
+        self.sizes = {n: (np.array(i), self.prints[i], hamming_blocks(self.prints[i])) for n, i in sorted(by_size.items())}
+        self.codes = {w: np.array(sorted(c), np.uint64) for w, c in known.items()}
+
+    def within(self, size: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) of the items of a length whose fingerprint is within
+        RADIUS bits of a window's, by the blocks."""
+        items, own, blocks = self.sizes[size]
+        listed = np.zeros((len(prints), len(items)), bool)
+        for block in range(BLOCKS):
+            listed |= blocks[block][prints[:, block]]
+        window, item = np.nonzero(listed)
+        near = np.bitwise_count(prints[window] ^ own[item]).sum(1) <= RADIUS
+        return zip(window[near].tolist(), items[item[near]].tolist(), strict=True)
 
     def matches(self, text: str) -> list[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, windows) of the best window
         for each item that the text has, leftmost if several are."""
         words = WORDS(text.lower())
         n = len(words)
-        if not n or not len(self.codes):
+        if not n or not self.names:
             return []
         ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, n)
         known = ids >= 0
-        if not known.any():
-            return []
         found: dict[int, list] = {}
-        for width in {min(WIDTH, n), *(s for s in self.short if s <= n)}:
-            full = np.convolve(known, np.ones(width, np.int64), "valid") == width
-            places = np.flatnonzero(full)
-            if not len(places):
-                continue
-            runs = np.lib.stride_tricks.sliding_window_view(ids, width)[places]
-            codes = np.zeros(len(places), np.uint64)
-            for i in range(width):
-                codes = mix(codes + runs[:, i].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            hit = self.codes[at] == codes
-            where: dict[int, list[int]] = defaultdict(list)
-            for place, code in zip(places[hit].tolist(), at[hit].tolist(), strict=True):
-                for item in self.holders[code].tolist():
-                    if min(WIDTH, self.sizes[item]) == width or n < self.sizes[item]:
-                        where[item].append(place)
-            for item, spots in where.items():
-                self.windows(item, np.array(spots), ids, width, found)
+        for width, codes in self.codes.items():
+            if n >= width and (total := self.running(ids, known, width, codes)) is not None:
+                for size in self.sizes:
+                    if min(WIDTH, size) == width:
+                        self.windows(size, width, ids, total, found)
         return [(item, *best) for item, best in sorted(found.items())]
 
-    def windows(self, item: int, spots: np.ndarray, ids: np.ndarray, width: int, found: dict) -> None:
-        """Windows of the item's length that may be similar enough: through
-        the Hamming blocks, then verified."""
-        n, size = len(ids), min(self.sizes[item], len(ids))
-        span = size - width + 1  # shingles of a window
-        need = math.ceil(THRESHOLD * sum(self.bags[item].values()) - 1e-9)
-        if span < need or len(spots) < need:
-            return
-        marks = np.zeros(n - width + 2, np.int64)
-        marks[spots + 1] = 1
-        totals = np.cumsum(marks)
-        starts = np.flatnonzero(totals[span:] - totals[:-span] >= need)
-        if not len(starts):
+    def running(self, ids: np.ndarray, known: np.ndarray, width: int, codes: np.ndarray) -> np.ndarray | None:
+        """Running counts of the places whose shingle is the benchmark's."""
+        places = np.flatnonzero(np.convolve(known, np.ones(width, np.int64), "valid") == width)
+        if not len(places):
+            return None
+        runs = np.lib.stride_tricks.sliding_window_view(ids, width)[places]
+        made = np.zeros(len(places), np.uint64)
+        for i in range(width):
+            made = mix(made + runs[:, i].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        at = np.minimum(np.searchsorted(codes, made), len(codes) - 1)
+        marks = np.zeros(len(ids) - width + 2, np.int64)
+        marks[places[codes[at] == made] + 1] = 1
+        return np.cumsum(marks) if marks.any() else None
+
+    def windows(self, size: int, width: int, ids: np.ndarray, total: np.ndarray, found: dict) -> None:
+        """Windows of a length: fingerprinted where enough shingles are known,
+        looked up in the blocks, verified."""
+        length = min(size, len(ids))
+        span = length - width + 1  # shingles of a window
+        need = math.ceil(THRESHOLD * (span + size - width + 1) / (1 + THRESHOLD) - 1e-9)
+        if need > span or total[-1] < need:
             return
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            first, last = int(run[0]), int(run[-1])
-            part = ids[first : last + size]
-            sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits_of(shingle_codes(part)), axis=0)])
-            prints = np.packbits(sums[span : span + len(run)] - sums[: len(run)] > 0, axis=1)
-            for start, print_ in zip(run.tolist(), prints, strict=True):
-                if item in self.within(print_):
-                    score = similarity(Counter(shingles(ids[start : start + size].tolist())), self.bags[item])
+        starts = np.flatnonzero(total[span:] - total[:-span] >= need)
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
+            for at in range(0, len(run), CHUNK):
+                part = run[at : at + CHUNK]
+                codes = shingle_codes(ids[part[0] : part[-1] + length])
+                sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits_of(codes), axis=0)])
+                prints = np.packbits(sums[span : span + len(part)] - sums[: len(part)] > 0, axis=1)
+                for window, item in self.within(size, prints):
+                    start = int(part[window])
+                    score = similarity(Counter(shingles(ids[start : start + length].tolist())), self.bags[item])
                     if score >= THRESHOLD:
-                        best = found.setdefault(item, [start, size, score, 0])
+                        best = found.setdefault(item, [start, length, score, 0])
                         best[3] += 1
                         if score > best[2]:
-                            best[:3] = start, size, score
+                            best[:3] = start, length, score
 
 
 SCHEMA = "id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double, n_windows bigint"
@@ -199,8 +208,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _search(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(items)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(sent.value)
         for batch in batches:
             for part in row_slices(batch, 1):
                 out: dict[tuple, list] = {}
