@@ -465,3 +465,24 @@ def test_decontamination_against_all_windows():
             if max(scores) >= 0.8:
                 expected[place] = (scores.index(max(scores)), max(scores), sum(s >= 0.8 for s in scores))
         assert {m[0]: (m[1], m[3], m[4]) for m in index.matches(" ".join(words))} == expected
+
+
+def test_signatures_of_license_bodies(spark):
+    bodies = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        (2, "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS", "apache-2.0"),
+        (3, "The Software shall be used for Good, not Evil.", "json"),
+        (4, "This is free and unencumbered software released into the public domain.", "unlicense"),
+        (5, "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "agpl,gpl"),
+        (6, "nothing of the kind, though its permission and notice are words of rules", ""),
+    ]
+    rows = by_id(licenses.scan(odd(spark, [b[:2] for b in bodies])).collect())
+    assert {i: rows[i][0]["labels"] for i, _, _ in bodies} == {i: want for i, _, want in bodies}
+
+
+def test_every_signature_is_gated_by_a_word_of_its_own():
+    from twinreel.llm.license_signatures import SIGNATURES
+
+    assert len(SIGNATURES) > 200
+    for _, keyword, expression in SIGNATURES:
+        assert keyword in expression

@@ -1,16 +1,19 @@
 """License scans: ordered signature rules in DataFrame functions only.
 
 A text is reduced to its words, A-Z lower-cased.  A rule is a regular
-expression over the words, gated by a keyword: a text is searched only for the
-rules whose keyword is among its words, and texts without any keyword are
-counted and passed on.  Every match is an interval of words.  Where intervals
+expression over the words, gated by a keyword: the words that are a keyword of
+any rule are picked in one pass, a text is searched only for the rules of those,
+and texts without any are counted and passed on.  Most rules are sentences of
+license texts, headers and notices, written out in ``license_signatures``; the
+rest are the ways in which a text speaks of a license by its name.  Every match is an interval of words.  Where intervals
 nest, the one of better priority suppresses what it contains (at equal
 priority the outer one, then the earlier rule); intervals that only overlap
 both stay.  The base phrases take no part in that: they neither suppress nor
 are suppressed.
 
 Null and empty texts have no words, no labels and score 0.  The score is the
-highest confidence among what stays.  Rows keep their multiplicity.
+highest confidence among what stays.  Rows keep their multiplicity.  Very long
+texts are searched whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .license_signatures import SIGNATURES
 
 #: What is not part of a word, before and after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -119,25 +123,6 @@ FORMS = (
     (" licen", "licen[cs]e (?:is )?(?:NAME)", 2, 0.7),
 )
 
-#: Sentences of license texts: label, keyword, expression.
-SENTENCES = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", "permission to use copy modify and (?:or )?distribute this software for any purpose"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software"),
-    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
-    ("boost-1.0", "boost", "distributed under the boost software license version 1 0"),
-    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("public-domain", "domain", "(?:released|placed|is) (?:into|in) the public domain"),
-    ("wtfpl", "fuck", "do what the fuck you want to public license"),
-    ("proprietary", "rights", "all rights reserved"),
-    ("proprietary", "confidential", "confidential and proprietary"),
-)
-
 RULES = "array<struct<rule:int,keyword:string,needs:string,pattern:string,label:string,priority:int,confidence:double,base:boolean>>"
 
 
@@ -148,9 +133,9 @@ def spaced(expression: str) -> str:
 
 
 def rules() -> list[dict]:
-    """All rules in order: base phrases, sentences, then every form of every name."""
+    """All rules in order: base phrases, signatures, then every form of every name."""
     made = [(" " + phrase.split()[0] + " ", " license ", phrase, label, 2, 0.8, True) for label, phrase in BASE]
-    made += [(f" {keyword} ", f" {keyword} ", text, label, 1, 1.0, False) for label, keyword, text in SENTENCES]
+    made += [(f" {keyword} ", f" {keyword} ", text, label, 1, 1.0, False) for label, keyword, text in SIGNATURES]
     made += [
         (f" {keyword} ", needs, form.replace("NAME", name), label, priority, sure, False)
         for label, keyword, name in NAMES
@@ -160,9 +145,9 @@ def rules() -> list[dict]:
     return [{"rule": i} | dict(zip(fields, row, strict=True)) | {"pattern": spaced(row[2])} for i, row in enumerate(made)]
 
 
-def openers() -> list[str]:
-    """What a text has to hold, in any case, for a rule to be tried at all."""
-    return sorted({r["needs"].strip() for r in rules()})
+def keywords() -> list[str]:
+    """Words of which a text has to hold one for any rule to be tried."""
+    return sorted({r["keyword"].strip() for r in rules()})
 
 
 def words_in(piece: Column) -> Column:
@@ -175,16 +160,18 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``rule, label, priority, confidence, base, start_word, end_word, kept``."""
     text = text_or_empty(text_col)
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, BETWEEN, "  ")), F.lit(" "))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("id"),
-        F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"),
-        F.when(text.rlike("(?i)" + "|".join(openers())), padded).alias("padded"),
-    )
+    joined = F.trim(F.regexp_replace(lower, BETWEEN, "  "))
+    listed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), joined.alias("joined"))
+    listed = listed.select("row", "id", "joined", F.when(F.col("joined") != "", F.split("joined", "  ")).alias("words"))
+    rows = listed.select(
+        "row", "id", "joined", F.greatest(F.size("words"), F.lit(0)).cast("bigint").alias("n_words"),
+        F.array_intersect("words", F.array(*map(F.lit, keywords()))).alias("present"),
+    )
+    rows = rows.select("row", "id", "n_words", "present", F.when(F.size("present") > 0, F.concat(F.lit(" "), "joined", F.lit(" "))).alias("padded"))
     whole = F.col("padded")
     tried = F.filter(
-        F.from_json(F.lit(json.dumps(rules())), RULES), lambda r: F.contains(whole, r["keyword"]) & F.contains(whole, r["needs"])
+        F.from_json(F.lit(json.dumps(rules())), RULES),
+        lambda r: F.array_contains("present", F.trim(r["keyword"])) & F.contains(whole, r["needs"]),
     )
 
     def search(rule: Column) -> Column:
