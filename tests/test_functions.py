@@ -26,8 +26,14 @@ def test_roles_must_not_overlap():
 
 
 def test_instructions(spark):
-    got = column(spark, parsing.instruction(F.col("t")), "t string", ("1 as 2 at 3",), ("1 at 3 as 2",), ("1 at 2",), ("1 as 2",), ("1",), ("u1",), ("x",))
-    assert [g and tuple(g) for g in got] == [(None, 2, 3, 1), (None, 2, 3, 1), (None, 1, 2, 1), (None, 2, 1, 1), (None, 1, 1, 1), (1, None, None, None), None]
+    got = column(spark, parsing.instruction(F.col("t")), "t string", ("1 as 2 at 3",), ("1 at 3 as 2",), ("1 at 2",), ("1 as 2",), ("1",), ("u1",), ("x",), ("1as2at3",), (" 4at5 as6 ",), ("99999999999999999999 as 2",))
+    assert [g and tuple(g) for g in got] == [
+        (False, 2, 3, 1, None), (False, 2, 3, 1, None), (False, 1, 2, 1, None), (False, 2, 2, 1, None), (False, 1, 1, 1, None), (True, 1, 1, 1, None), None,
+        (False, 2, 3, 1, None), (False, 6, 5, 4, None), (False, 2, 2, None, "contents_idx: 99999999999999999999"),
+    ]
+    texts = [("7 as 8 at 1",), ("u9",), ("1",), ("1 as 99999999999999999999",)]
+    errors = column(spark, parsing.instruction_errors(parsing.instruction(F.col("t")), F.lit(6)), "t string", *texts)
+    assert errors == ["basename index not valid: 8. contents index not valid: 7.", "basename index not valid: 9. dirname index not valid: 9. contents index not valid: 9.", "", "not a number: basename_idx: 99999999999999999999"]
 
 
 def test_sampling_plan(spark):

@@ -57,12 +57,44 @@ def test_resolution_plan(spark):
     assert {r["path"]: r["entry_idx"] for r in ordered.collect()} == {"/a/x.mp4": 0, "/b/longer.mp4": 1, "/r/ref.mp4": 0, "/c/y.avi": 1}
     def plan(*rows):
         return sorted((r["action"], r["src"], r["dst"], r["error"]) for r in resolution.plan(ordered, spark.createDataFrame(rows, "group_id bigint, text string")).collect())
-    assert plan((1, "0 as 1")) == [("move", "/a/x.mp4", "/a/longer.mp4", None), ("trash", "/b/longer.mp4", "/trash/b/longer.mp4", None)]
+    assert plan((1, "0 as 1")) == [("move", "/a/x.mp4", "/b/longer.mp4", None), ("trash", "/b/longer.mp4", "/trash/b/longer.mp4", None)]
+    assert plan((1, "0as1at0")) == [("move", "/a/x.mp4", "/a/longer.mp4", None), ("trash", "/b/longer.mp4", "/trash/b/longer.mp4", None)]
     assert plan((1, "0")) == [("trash", "/b/longer.mp4", "/trash/b/longer.mp4", None)]
-    assert plan((1, "u1")) == [("untrash", "/trash/b/longer.mp4", "/b/longer.mp4", None)]
+    assert [r[0] for r in plan((1, "u1"))] == ["error"]
     assert [r[0] for r in plan((1, "7"))] == ["error"] and [r[0] for r in plan((1, "what"))] == ["error"]
 
 
+def test_trash_and_what_exists(spark):
+    rows = [(1, "/a/x.mp4", False), (1, "/trash/b/y.mp4", False), (2, "/c/k.mp4", False), (2, "/c/long.avi", False), (3, "/d/one", False), (3, "/d/one", False)]
+    ordered = resolution.review_order(spark.createDataFrame(rows, "group_id bigint, path string, is_reference boolean"))
+    listed = [("/a/x.mp4", "x"), ("/trash/b/y.mp4", "y"), ("/c/k.mp4", "k"), ("/c/long.avi", "l"), ("/trash/c/long.avi", "l"), ("/trash/c/k.mp4", "other"), ("/trash/c/k (1).mp4", "p"), ("/trash/c/k (3).mp4", "q")]
+    files = spark.createDataFrame(listed, "path string, content_hash string")
+
+    def plan(group, text):
+        table = spark.createDataFrame([(group, text)], "group_id bigint, text string")
+        return sorted((r["action"], r["src"], r["dst"], r["error"]) for r in resolution.plan(ordered, table, files=files).collect())
+
+    assert plan(1, "u1") == [("untrash", "/trash/b/y.mp4", "/b/y.mp4", None)]
+    assert plan(1, "0")[0][3] == "already in the trash"
+    assert plan(2, "0") == [("delete", "/c/long.avi", None, None)]  # its equal is in the trash
+    assert plan(2, "1") == [("trash", "/c/k.mp4", "/trash/c/k (2).mp4", None)]
+    assert plan(2, "0 as 1") == [("delete", "/c/long.avi", None, None), ("move", "/c/k.mp4", "/c/long.mp4", None)]
+    assert plan(3, "0")[0][3] == "a file is listed twice"
+    assert [tuple(r) for r in resolution.duplicated_entries(ordered).collect()] == [(3, "/d/one")]
+
+
+def test_a_plan_carried_out(tmp_path):
+    for name in ("a.mp4", "b.mp4", "c.mp4"):
+        (tmp_path / name).write_text(name)
+    at = lambda name: str(tmp_path / name)
+    done = resolution.execute([("move", at("a.mp4"), at("b.mp4")), ("trash", at("b.mp4"), at("trash/b.mp4")), ("delete", at("c.mp4"), None), ("error", None, None)])
+    assert [d[0] for d in done] == ["delete", "trash", "move"] and (tmp_path / "b.mp4").read_text() == "a.mp4" and (tmp_path / "trash/b.mp4").read_text() == "b.mp4"
+    (tmp_path / "a.mp4").write_text("again")
+    assert resolution.move_file(at("a.mp4"), at("b.mp4")) == at("b (1).mp4")
+    with pytest.raises(FileNotFoundError):
+        resolution.move_file(at("none"), at("x"))
+
+
 def test_frames_in_memory():
     source = frames.MemoryFrames({"v": list(range(10))})
     assert list(source.frames("v", 2.0, 1.5, 4)) == [3, 4, 5, 6]

@@ -49,32 +49,44 @@ def rotation(text: Column) -> Column:
     return F.when(degrees.isin(0.0, 90.0, -90.0, 180.0, -180.0, 270.0, -270.0), F.pmod(degrees.cast("int"), F.lit(360)))
 
 
-#: Instructions: pattern, then which groups are the name's, the folder's and the contents' place.
+#: Instructions: pattern, then which groups are the name's, the folder's and the
+#: contents' place (fixed values; white space may be left out).
 GRAMMAR = (
-    (r"^\s*(\d+)\s+as\s+(\d+)\s+at\s+(\d+)\s*$", 2, 3, 1),
-    (r"^\s*(\d+)\s+at\s+(\d+)\s+as\s+(\d+)\s*$", 3, 2, 1),
-    (r"^\s*(\d+)\s+at\s+(\d+)\s*$", 1, 2, 1),
-    (r"^\s*(\d+)\s+as\s+(\d+)\s*$", 2, 1, 1),
+    (r"^\s*(\d+)\s*as\s*(\d+)\s*at\s*(\d+)\s*$", 2, 3, 1),
+    (r"^\s*(\d+)\s*at\s*(\d+)\s*as\s*(\d+)\s*$", 3, 2, 1),
+    (r"^\s*(\d+)\s*at\s*(\d+)\s*$", 1, 2, 1),
+    (r"^\s*(\d+)\s*as\s*(\d+)\s*$", 2, 2, 1),
     (r"^\s*(\d+)\s*$", 1, 1, 1),
 )
 UNTRASH = r"^\s*u(\d+)\s*$"
 
 
+#: The places that an instruction names, in the order in which they are checked.
+PLACES = ("basename_idx", "dirname_idx", "contents_idx")
+
+
 def instruction(text: Column) -> Column:
-    """(untrash, basename_idx, dirname_idx, contents_idx), or null if the text
-    follows no form of the grammar."""
-    no = F.lit(None).cast("int")
-    out = F.when(text.rlike(UNTRASH), F.struct(F.regexp_extract(text, UNTRASH, 1).try_cast("int").alias("untrash"), no.alias("basename_idx"), no.alias("dirname_idx"), no.alias("contents_idx")))
-    for pattern, *places in GRAMMAR:
-        numbers = (F.regexp_extract(text, pattern, p).try_cast("int").alias(n) for p, n in zip(places, ("basename_idx", "dirname_idx", "contents_idx"), strict=True))
-        out = out.when(text.rlike(pattern), F.struct(no.alias("untrash"), *numbers))
+    """(untrash, basename_idx, dirname_idx, contents_idx, too_large), or null if
+    the text follows no form of the grammar.  ``too_large`` names the first place,
+    of contents, name and folder, whose number no place can have; numbers are
+    unsigned ones of 64 bits, of which those above the signed range are as good
+    as too large, since no list is that long."""
+    out = None
+    for pattern, *groups, untrash in (*((*row, False) for row in GRAMMAR), (UNTRASH, 1, 1, 1, True)):
+        digits = dict(zip(PLACES, (F.regexp_extract(text, pattern, g) for g in groups), strict=True))
+        numbers = (d.try_cast("bigint").alias(n) for n, d in digits.items())
+        order = ("contents_idx", "basename_idx", "dirname_idx")
+        large = F.coalesce(*(F.when(digits[n].try_cast("bigint").isNull(), F.concat(F.lit(f"{n}: "), digits[n])) for n in order))
+        made = F.struct(F.lit(untrash).alias("untrash"), *numbers, large.alias("too_large"))
+        out = F.when(text.rlike(pattern), made) if out is None else out.when(text.rlike(pattern), made)
     return out
 
 
 def instruction_errors(parsed: Column, entries: Column) -> Column:
-    """What is wrong with the places of an instruction, joined; empty if nothing."""
-    tests = (F.when(parsed[f] >= entries, F.concat(F.lit(f"{f} out of range: "), parsed[f].cast("string"))) for f in ("basename_idx", "dirname_idx", "contents_idx"))
-    return F.concat_ws("; ", *tests)
+    """What is wrong with an instruction's places, of so many entries; empty if
+    nothing."""
+    tests = (F.when(parsed[n] >= entries, F.concat(F.lit(f"{n.removesuffix('_idx')} index not valid: "), parsed[n].cast("string"), F.lit("."))) for n in PLACES)
+    return F.coalesce(F.concat(F.lit("not a number: "), parsed["too_large"]), F.concat_ws(" ", *tests))
 
 
 def byte_size(n: Column) -> Column:

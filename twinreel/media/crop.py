@@ -36,6 +36,10 @@ class Crop:
     def aspect(self) -> float:
         return self.view()[2] / self.view()[3]
 
+    def elongation(self) -> float:
+        """The longer side over the shorter one."""
+        return max(self.aspect(), 1 / self.aspect())
+
     def uncropped(self) -> bool:
         return not (self.left or self.right or self.top or self.bottom)
 
@@ -127,11 +131,14 @@ def closed(mask: np.ndarray, radius: int) -> np.ndarray:
 def blurred(image: np.ndarray, sigma: float = 2.0) -> np.ndarray:
     radius = int(np.ceil(2 * sigma))
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    weights /= weights.sum()
     out = image.astype(np.float64)
-    for axis in (0, 1):
-        padded = np.pad(out, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        out = sum(w * np.take(padded, np.arange(i, i + image.shape[axis]), axis) for i, w in enumerate(weights))
+    for axis in (0, 1):  # beyond an edge there is nothing, and the weights of what is there add up to one
+        size = image.shape[axis]
+        band = np.zeros((size, size + 2 * radius))
+        for i, w in enumerate(weights):
+            band[np.arange(size), np.arange(size) + i] = w
+        band = band[:, radius:-radius]
+        out = np.moveaxis(np.tensordot(band / band.sum(1, keepdims=True), out, (1, axis)), 0, axis)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
@@ -171,6 +178,9 @@ def bounding_crop(mask: np.ndarray) -> Crop | None:
 #: Brightness below which the darkest frame is dark, differences that count as
 #: none, and the threshold of motion (fixed values).
 DARK, STILL, MOVES = 210, 8, 20
+#: The longest sides of a plausible crop, and the share of the largest area that
+#: a crop needs (fixed values).
+WORST_ASPECT, NEARLY = 3.0, 0.8
 
 
 def darkest(frames: list[np.ndarray]) -> np.ndarray:
@@ -189,14 +199,17 @@ def frame_change(frames: list[np.ndarray]) -> np.ndarray:
 
 def motion_mask(frames: list[np.ndarray]) -> np.ndarray:
     change = frame_change(frames)
+    change -= change.min()
     if not change.max():
         return np.zeros(change.shape, np.uint8)
-    scaled = (change / change.max() * 255).astype(np.uint8)
+    full = (change * (65535 / change.max())).astype(np.int64)  # to 16 bits, and then to 8 by rounding
+    scaled = ((full + 128) // 257).astype(np.uint8)
     return closed(np.where(blurred(scaled) > MOVES, 255, 0).astype(np.uint8), 5)
 
 
 def motion_pass(frames: list[np.ndarray]) -> Crop | None:
-    """The box of the largest dark region with motion in it, worn off twice."""
+    """The box of the largest dark region with motion in it, worn off twice, or
+    not at all where that would leave nothing."""
     dark = darkest(frames)
     if dark.shape[0] > 100:
         dark = opened(dark, min(dark.shape[0] // 10, 10))
@@ -204,10 +217,10 @@ def motion_pass(frames: list[np.ndarray]) -> Crop | None:
     touched = np.unique(label[(motion_mask(frames) > 0) & (dark > 0)])
     chosen = largest_region(np.isin(label, touched[touched > 0]).astype(np.uint8))
     found = None if chosen is None else bounding_crop(chosen)
-    for _ in range(2):
-        if found is not None and not found.uncropped():
-            found = found.eroded() or found
-    return found
+    if found is None or found.uncropped():
+        return found
+    once = found.eroded()
+    return once and once.eroded() or found
 
 
 def stretched(frames: list[np.ndarray]) -> list[np.ndarray]:
@@ -222,17 +235,18 @@ def whitened(frames: list[np.ndarray], where: np.ndarray) -> list[np.ndarray]:
     return [np.where(where, 255, f).astype(np.uint8) for f in frames]
 
 
-def motion_crop(frames: list[np.ndarray]) -> Crop:
-    """The box of what moves: from two passes, the second without the first's
-    area, those of fair shape and of nearly the largest area, the topmost; the
-    letterbox if there is none."""
+def motion_crop(frames: list[np.ndarray]) -> Crop | None:
+    """The box of what moves: of two passes, the second without the first's area,
+    those of fair shape and of nearly the largest area of both, the topmost; the
+    letterbox if there is none.  None for fewer than two frames or several sizes."""
+    if len(frames) < 2 or len({f.shape for f in frames}) > 1:
+        return None
     frames = stretched(frames)
     box = letterbox_frames(frames)
     inside = whitened(frames, box.mask())
     first = motion_pass(inside)
     second = motion_pass(whitened(inside, ~first.mask())) if first is not None else None
-    fair = [c for c in (first, second) if c is not None and c.aspect() <= 3.0]
-    if not fair:
-        return box
-    large = max(c.area() for c in fair)
-    return min((c for c in fair if c.area() > 0.8 * large), key=lambda c: c.top)
+    both = [c for c in (first, second) if c is not None]
+    large = max((c.area() for c in both), default=0)
+    fair = [c for c in both if c.elongation() <= WORST_ASPECT and c.area() > NEARLY * large]
+    return min(fair, key=lambda c: c.top, default=box)

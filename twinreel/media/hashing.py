@@ -27,9 +27,12 @@ class CreationOptions:
             raise ValueError(self.cropdetect)
 
 
-def hash_video(frames: list[np.ndarray], options: CreationOptions) -> tuple[list[int] | None, str | None, str | None]:
-    """(words, error kind, message) of a video's gray frames."""
-    frames = frames[:DCT_SIDE]
+def hash_video(frames: list[np.ndarray | None], options: CreationOptions) -> tuple[list[int] | None, str | None, str | None]:
+    """(words, error kind, message) of a video's gray frames; None stands for one
+    that cannot be read, which is an error of the first frame only."""
+    if frames and frames[0] is None:
+        return None, "VidProc", "the first frame cannot be read"
+    frames = [f for f in frames if f is not None][:DCT_SIDE]
     if len(frames) < DCT_SIDE:
         return None, "NotEnoughFrames", f"{len(frames)} frames"
     if len({f.shape for f in frames}) > 1:
@@ -40,7 +43,7 @@ def hash_video(frames: list[np.ndarray], options: CreationOptions) -> tuple[list
 
 def hash_videos(videos: DataFrame, options: CreationOptions = CreationOptions()) -> DataFrame:  # noqa: B008
     """``path, hash, err_kind, err_msg`` from (path, w, h, frames: array of gray
-    frames as bytes).  Frames of a wrong length are left out; a video is one row,
+    frames as bytes).  Frames of a wrong length cannot be read; a video is one row,
     of sixteen frames, so a task holds a few of them at a time."""
     ship(videos.sparkSession)
 
@@ -51,7 +54,7 @@ def hash_videos(videos: DataFrame, options: CreationOptions = CreationOptions())
                 if frames is None or not w or not h:
                     rows.append((path, None, "NotVideo", "no frames"))
                     continue
-                whole = [np.frombuffer(f, np.uint8).reshape(int(h), int(w)) for f in frames if f is not None and len(f) == w * h]
+                whole = [np.frombuffer(f, np.uint8).reshape(int(h), int(w)) if f is not None and len(f) == w * h else None for f in frames]
                 rows.append((path, *hash_video(whole, options)))
             yield pd.DataFrame(rows, columns=["path", "hash", "err_kind", "err_msg"])
 

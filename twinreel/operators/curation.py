@@ -46,8 +46,11 @@ def missed_matches(confirmed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def validation_failures(confirmed: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Pairs that are confirmed and rejected at once."""
-    return component_pairs(confirmed).join(rejected, ["lo", "hi"])
+    """Pairs that are confirmed and rejected at once: the rejected ones with both
+    ends in one component, so that no component's pairs are listed."""
+    ends = [confirmed.select(F.col("path").alias(e), F.col("component_id").alias(f"{e}_component")) for e in ("lo", "hi")]
+    inside = rejected.join(ends[0], "lo").join(ends[1], "hi").where("lo_component = hi_component")
+    return inside.select("lo", "hi").distinct()
 
 
 def unmatch(confirmed: DataFrame, pairs: DataFrame) -> DataFrame:

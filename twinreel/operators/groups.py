@@ -6,14 +6,14 @@ they become arrays only in sinks.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming
+from ..functions.hashing import HASH_BITS, hamming, normalised
+from ..storage import materialize
+from .search import leaders
 
 
 def members(found: DataFrame) -> DataFrame:
@@ -35,26 +35,46 @@ def pairs(groups: DataFrame, columns: Sequence[str] = ("id", "path")) -> DataFra
     def side(p: str) -> DataFrame:
         return groups.select("group_id", *(F.col(c).alias(f"{p}_{c}") for c in (*columns, "is_reference")))
 
-    with_reference = groups.groupBy("group_id").agg(F.max("is_reference").alias("has_reference"))
-    both = side("a").join(side("b"), "group_id").join(with_reference, "group_id")
-    plain = ~F.col("has_reference") & (F.col("a_path") < F.col("b_path"))
-    referred = F.col("a_is_reference") & ~F.col("b_is_reference")
-    return both.where(plain | referred).drop("has_reference", "a_is_reference", "b_is_reference")
+    referred = groups.where("is_reference").select("group_id").distinct()
+    a, b = side("a"), side("b")
+    plain = a.join(referred, "group_id", "left_anti").join(b, "group_id").where("a_path < b_path")
+    led = a.where("a_is_reference").join(b.where("not b_is_reference"), "group_id")
+    return plain.unionByName(led).drop("a_is_reference", "b_is_reference")
+
+
+#: The distance of a pair of which a hash is missing: beyond any other.
+UNKNOWN = (1 << 32) - 1
 
 
 def max_distance(groups: DataFrame, words: Sequence[str] = ("w0",)) -> DataFrame:
-    """``group_id, max_distance``: largest distance of any two members."""
+    """``group_id, max_distance``: largest distance of any two members; UNKNOWN
+    where a member has no hash."""
     def side(p: str) -> DataFrame:
         return groups.select("group_id", F.col("path").alias(f"{p}_path"), *(F.col(w).alias(f"{p}_{w}") for w in words))
 
     far = hamming([F.col(f"a_{w}") for w in words], [F.col(f"b_{w}") for w in words])
     both = side("a").join(side("b"), "group_id").where(F.col("a_path") < F.col("b_path"))
-    return both.groupBy("group_id").agg(F.max(far).alias("max_distance"))
+    return both.groupBy("group_id").agg(F.max(F.coalesce(far.cast("bigint"), F.lit(UNKNOWN))).alias("max_distance"))
+
 
+def spread(groups: DataFrame, words: Sequence[str] = ("w0",), scale: int = HASH_BITS) -> DataFrame:
+    """``group_id, spread``: largest normalised distance of the members that have
+    a hash; 0 where no two have."""
+    known = max_distance(groups.dropna(subset=list(words)), words)
+    return groups.select("group_id").distinct().join(known, "group_id", "left").select("group_id", F.coalesce(normalised(F.col("max_distance"), scale), F.lit(0.0)).alias("spread"))
 
-def ranked(groups: DataFrame, key: Column, ties: Sequence[Column]) -> Column:
-    """A group's place in an order; ties are explicit, since sorts are not stable."""
-    return F.row_number().over(Window.orderBy(key, *ties)) - 1
+
+def ranked(groups: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """With each row's ``place`` in an order, which has to settle all ties, since
+    sorts are not stable.  Rows are sorted in ranges, in parallel; only the sizes
+    of the ranges are summed in one task."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = groups.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = materialize(cut.select("*", F.spark_partition_id().alias("part"), within.alias("at")), "ranked")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return held.join(F.broadcast(offsets), "part").withColumn("place", F.col("before") + F.col("at")).drop("part", "at", "before")
 
 
 def filter_members(groups: DataFrame, keep: Column) -> DataFrame:
@@ -83,45 +103,54 @@ def unique_items(items: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def remove_known(groups: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """``group_id, bucket, path``: each path, in order, goes to the first bucket
-    with a member that it is not confirmed with; buckets of one go.
-
-    ``confirmed`` has ``component_id, path``.  The order within a group decides,
-    so a group is one unit of work.
+    """``group_id, bucket, path``: each path, by its ``place`` in the group, goes
+    to the first bucket with a member that it is not confirmed with; buckets of
+    one go.  ``groups`` has ``group_id, place, path``, ``confirmed`` has
+    ``component_id, path``.
+
+    A bucket whose members are all of one component is closed to that component
+    and open to every other path; a bucket of two components is open to all.  So
+    the first path opens bucket 0, which takes everything up to and beyond the
+    first path of another component, while the paths of its own component that
+    come before that open a bucket each: bucket k holds the k-th of these and,
+    as bucket 0 is open to the others, nothing else.  Buckets of one go, so what
+    is left of a group is its first path and all paths from the first one on that
+    is not confirmed with it, in bucket 0.
     """
-    known = groups.join(confirmed.select("path", "component_id"), "path", "left")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        buckets: list[list[tuple]] = []
-        for path, component in sorted(zip(pdf["path"], pdf["component_id"], strict=True)):
-            for bucket in buckets:
-                if not all(component == component and component == other for _, other in bucket):
-                    bucket.append((path, component))
-                    break
-            else:
-                buckets.append([(path, component)])
-        rows = [(pdf["group_id"].iloc[0], i, p) for i, b in enumerate(buckets) if len(b) > 1 for p, _ in b]
-        return pd.DataFrame(rows, columns=["group_id", "bucket", "path"])
-
-    return known.groupBy("group_id").applyInPandas(split, "group_id bigint, bucket int, path string")
+    rows = groups.select("group_id", "place", "path").join(confirmed.select("path", "component_id"), "path", "left")
+    first = rows.groupBy("group_id").agg(F.min(F.struct("place", "path", "component_id")).alias("f"))
+    unlike = ~F.coalesce(F.col("component_id") == F.col("f.component_id"), F.lit(False))
+    later = F.struct("place", "path") > F.struct("f.place", "f.path")
+    judged = rows.join(first, "group_id").withColumn("unlike", unlike & later)
+    opened = judged.where("unlike").groupBy("group_id").agg(F.min(F.struct("place", "path")).alias("o"))
+    kept = judged.join(opened, "group_id").where(~later | (F.struct("place", "path") >= F.col("o")))
+    return kept.select("group_id", F.lit(0).alias("bucket"), "path")
 
 
 def remove_false_positives(groups: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``group_id, path``: in path order, members that are rejected with none of
-    those kept before; groups of one go.  ``rejected`` has ``lo, hi``."""
-    inside = groups.select("group_id", F.col("path").alias("lo")).join(rejected, "lo").join(groups.select("group_id", F.col("path").alias("hi")), ["group_id", "hi"])
-    peers = inside.groupBy("group_id", F.col("hi").alias("path")).agg(F.to_json(F.collect_set("lo")).alias("lower"))
-    rows = groups.select("group_id", "path").join(peers, ["group_id", "path"], "left")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        for path, lower in sorted(zip(pdf["path"], pdf["lower"].fillna("[]"), strict=True)):
-            if not set(json.loads(lower)) & set(kept):
-                kept.append(path)
-        rows = [(pdf["group_id"].iloc[0], p) for p in kept if len(kept) > 1]
-        return pd.DataFrame(rows, columns=["group_id", "path"])
-
-    return rows.groupBy("group_id").applyInPandas(keep, "group_id bigint, path string")
+    """``group_id, path``: by their ``place`` in the group, members that are
+    rejected with none of those kept before; groups of one go.  ``groups`` has
+    ``group_id, place, path``, ``rejected`` has ``lo, hi``.
+
+    The members kept are the first maximal set, in this order, without a rejected
+    pair in it, as the leaders of a search are, and are found by the same rounds:
+    work follows the rejected pairs within groups, not the groups.
+    """
+    rows = groups.select("group_id", "place", "path")
+    ends = [rows.select("group_id", F.col("place").alias(f"{e}_place"), F.col("path").alias(e)) for e in ("lo", "hi")]
+    inside = ends[0].join(rejected.select("lo", "hi"), "lo").join(ends[1], ["group_id", "hi"])
+    swap = F.col("lo_place") > F.col("hi_place")
+    node = lambda end: F.xxhash64("group_id", end)
+    edges = inside.select(
+        F.when(swap, node("hi")).otherwise(node("lo")).alias("u"), F.when(swap, node("lo")).otherwise(node("hi")).alias("v"),
+        F.least("lo_place", "hi_place").alias("u_duration"), F.when(swap, F.col("hi")).otherwise(F.col("lo")).alias("u_path"),
+        F.greatest("lo_place", "hi_place").alias("v_duration"), F.when(swap, F.col("lo")).otherwise(F.col("hi")).alias("v_path"),
+    )
+    edges = materialize(edges.distinct(), "rejected-inside")
+    lead = leaders(edges)
+    gone = edges.join(lead.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("node")).distinct()
+    kept = rows.withColumn("node", node("path")).join(gone, "node", "left_anti")
+    return kept.withColumn("n", F.count("*").over(Window.partitionBy("group_id"))).where("n > 1").select("group_id", "path")
 
 
 def quality_rank(value: Column, by: Sequence[str], nonzero: Column) -> Column:

@@ -71,31 +71,41 @@ def leaders(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``id`` of the leaders among the items of ``pairs`` (u before v).
 
     In a round, items without an undecided earlier neighbour lead, and theirs
-    are claimed; both leave the graph.  What ``rounds`` rounds leave, such as
-    long chains, is scanned component by component.
+    are claimed; both leave the graph, and who is left without an undecided
+    neighbour leads as well.  A round writes one table: its pairs, with what
+    became of either end.  What ``rounds`` rounds leave, such as long chains, is
+    scanned component by component.
     """
-    open_pairs = materialize(pairs.select("u", "v", "u_duration", "u_path", "v_duration", "v_path"), "search-open")
+    open_pairs = pairs.select("u", "v", "u_duration", "u_path", "v_duration", "v_path")
     found = None
     for _ in range(rounds):
-        if open_pairs.isEmpty():
-            break
-        lead = materialize(open_pairs.select(F.col("u").alias("id")).distinct().join(open_pairs.select(F.col("v").alias("id")), "id", "left_anti"), "search-lead")
+        judged = materialize(judge(open_pairs), "search-round")
+        lead = materialize(decided(judged), "search-lead")
         found = lead if found is None else found.unionByName(lead)
-        claimed = open_pairs.join(lead.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id"))
-        gone = materialize(claimed.distinct(), "search-claimed")
-        left = open_pairs.join(lead.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "u"), "u", "left_anti")
-        # a claimed neighbour no longer decides, but who has only such ones must stay to lead
-        kept = left.join(gone.withColumnRenamed("id", "v"), "v", "left_anti")
-        freed = open_pairs.select(F.col("v").alias("id")).unionByName(open_pairs.select(F.col("u").alias("id"))).distinct()
-        freed = freed.join(lead, "id", "left_anti").join(gone, "id", "left_anti")
-        ends = kept.select(F.col("u").alias("id")).unionByName(kept.select(F.col("v").alias("id")))
-        found = found.unionByName(materialize(freed.join(ends, "id", "left_anti"), "search-freed"))
-        open_pairs = materialize(kept, "search-open")
-    rest = open_pairs
-    if not rest.isEmpty():
-        left = scan_components(rest)
-        found = left if found is None else found.unionByName(left)
-    return found if found is not None else open_pairs.select(F.col("u").alias("id"))
+        open_pairs = judged.where("open").drop("lead", "claimed", "other_claimed", "open")
+        if open_pairs.isEmpty():
+            return found
+    return found.unionByName(scan_components(open_pairs))
+
+
+def judge(open_pairs: DataFrame) -> DataFrame:
+    """The pairs of a round with whether u leads, u or v is claimed, and the pair
+    stays open."""
+    blocked = open_pairs.select(F.col("v").alias("u")).distinct().withColumn("blocked", F.lit(True))
+    led = open_pairs.join(blocked, "u", "left").withColumn("lead", F.col("blocked").isNull()).drop("blocked")
+    gone = led.where("lead").select(F.col("v").alias("x")).distinct().withColumn("claimed", F.lit(True))
+    tagged = led.join(gone.withColumnRenamed("x", "u"), "u", "left").join(gone.withColumnRenamed("x", "v").withColumnRenamed("claimed", "other_claimed"), "v", "left")
+    tagged = tagged.fillna(False, ["claimed", "other_claimed"])
+    return tagged.withColumn("open", ~F.col("lead") & ~F.col("claimed") & ~F.col("other_claimed"))
+
+
+def decided(judged: DataFrame) -> DataFrame:
+    """``id`` of the items of a round that lead: those no earlier one is open for,
+    and those that neither lead nor are claimed but have no open pair left."""
+    u = judged.select(F.col("u").alias("id"), "lead", "claimed", "open")
+    v = judged.select(F.col("v").alias("id"), F.lit(False).alias("lead"), F.col("other_claimed").alias("claimed"), "open")
+    ends = u.unionByName(v).groupBy("id").agg(*(F.max(c).alias(c) for c in ("lead", "claimed", "open")))
+    return ends.where("lead or not (claimed or open)").select("id")
 
 
 def scan_components(pairs: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ _TEXT = """CASE p_partkey % 7 WHEN 0 THEN p_partkey % 9 || ' as ' || p_partkey %
 
 _REMOVE_KNOWN = f"""WITH RECURSIVE {_CONFIRMED},
 rough AS (
-  SELECT d.duration % 50 AS g, d.path, c.component_id AS c, row_number() OVER (PARTITION BY d.duration % 50 ORDER BY d.path) AS k
+  SELECT d.duration % 50 AS g, d.path, c.component_id AS c, row_number() OVER (PARTITION BY d.duration % 50 ORDER BY d.id DESC) AS k
   FROM docs d LEFT JOIN confirmed c USING (path)),
 walk(g, k, buckets) AS (
   SELECT g, 0::BIGINT, []::STRUCT(b INT, c BIGINT, path VARCHAR)[] FROM (SELECT DISTINCT g FROM rough)
@@ -107,8 +107,8 @@ done AS (SELECT g, unnest(buckets) AS m FROM walk QUALIFY k = max(k) OVER (PARTI
 SELECT CAST(g AS BIGINT) AS group_id, m.b AS bucket, m.path AS path FROM done QUALIFY count(*) OVER (PARTITION BY g, m.b) > 1"""
 
 _REMOVE_FALSEPOS = f"""WITH RECURSIVE {_CONFIRMED},
-steps AS (SELECT component_id AS g, path, row_number() OVER (PARTITION BY component_id ORDER BY path) AS k FROM confirmed),
-peers AS (SELECT hi AS path, list(lo) AS los FROM rejected GROUP BY hi),
+steps AS (SELECT component_id AS g, path, row_number() OVER (PARTITION BY component_id ORDER BY id DESC) AS k FROM confirmed),
+peers AS (SELECT path, list(other) AS los FROM (SELECT hi AS path, lo AS other FROM rejected UNION ALL SELECT lo, hi FROM rejected) GROUP BY path),
 walk(g, k, kept) AS (
   SELECT g, 0::BIGINT, []::VARCHAR[] FROM (SELECT DISTINCT g FROM steps)
   UNION ALL
@@ -193,14 +193,21 @@ SELECT doc_id, s AS seconds,
 FROM lineitem a""",
         "frame_pair_diff": """WITH d AS (SELECT user_id, abs(floor(value) - floor(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS d FROM events)
 SELECT user_id, CAST(sum(CASE WHEN d >= 8 THEN d ELSE 0 END) AS BIGINT) AS change FROM d GROUP BY 1""",
-        "resolution_parse": f"""
-WITH t AS (SELECT p_partkey, p_partkey % 7 AS f, {_TEXT} AS text, CAST(p_partkey % 9 AS INT) AS n, CAST(p_partkey % 5 AS INT) AS m, CAST(p_partkey % 4 AS INT) AS l FROM part),
-i AS (SELECT p_partkey, text, f, CASE f WHEN 5 THEN n END AS untrash,
- CASE f WHEN 0 THEN m WHEN 1 THEN l WHEN 2 THEN n WHEN 3 THEN m WHEN 4 THEN n END AS basename_idx,
- CASE f WHEN 0 THEN l WHEN 1 THEN m WHEN 2 THEN m WHEN 3 THEN n WHEN 4 THEN n END AS dirname_idx, CASE WHEN f < 5 THEN n END AS contents_idx FROM t)
-SELECT p_partkey, text, untrash, basename_idx, dirname_idx, contents_idx, CASE WHEN f < 6 THEN concat_ws('; ',
- CASE WHEN basename_idx >= 6 THEN 'basename_idx out of range: ' || basename_idx END, CASE WHEN dirname_idx >= 6 THEN 'dirname_idx out of range: ' || dirname_idx END,
- CASE WHEN contents_idx >= 6 THEN 'contents_idx out of range: ' || contents_idx END) END AS errors FROM i""",
+        "resolution_parse": rf"""
+WITH t AS (SELECT p_partkey, {_TEXT} AS plain FROM part),
+u AS (SELECT p_partkey, CASE p_partkey % 11 WHEN 3 THEN replace(plain, ' ', '') WHEN 5 THEN plain || '98765432109876543210' ELSE plain END AS text FROM t),
+p AS (SELECT p_partkey, text, regexp_extract_all(text, '\d+') AS n, regexp_replace(regexp_replace(text, '\s', '', 'g'), '\d+', '#', 'g') AS form FROM u),
+d AS (
+  SELECT p_partkey, text, form, n[1] AS c, CASE form WHEN '#as#at#' THEN n[2] WHEN '#at#as#' THEN n[3] WHEN '#as#' THEN n[2] ELSE n[1] END AS b,
+    CASE form WHEN '#as#at#' THEN n[3] WHEN '#at#as#' THEN n[2] WHEN '#at#' THEN n[2] WHEN '#as#' THEN n[2] ELSE n[1] END AS f
+  FROM p WHERE form IN ('#as#at#', '#at#as#', '#at#', '#as#', '#', 'u#')),
+i AS (SELECT *, try_cast(b AS BIGINT) AS bi, try_cast(f AS BIGINT) AS fi, try_cast(c AS BIGINT) AS ci FROM d)
+SELECT p.p_partkey, p.text, i.form = 'u#' AS untrash, bi AS basename_idx, fi AS dirname_idx, ci AS contents_idx,
+ CASE WHEN i.form IS NULL THEN NULL WHEN ci IS NULL THEN 'not a number: contents_idx: ' || c WHEN bi IS NULL THEN 'not a number: basename_idx: ' || b
+  WHEN fi IS NULL THEN 'not a number: dirname_idx: ' || f ELSE trim(
+  CASE WHEN bi >= 6 THEN 'basename index not valid: ' || bi || '. ' ELSE '' END || CASE WHEN fi >= 6 THEN 'dirname index not valid: ' || fi || '. ' ELSE '' END
+  || CASE WHEN ci >= 6 THEN 'contents index not valid: ' || ci || '.' ELSE '' END) END AS errors
+FROM p LEFT JOIN i USING (p_partkey)""",
         "rotation_parse": "SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 270 WHEN 3 THEN 180 WHEN 4 THEN 180 WHEN 5 THEN 270 WHEN 6 THEN 90 END AS rotation FROM part",
         "probe_json": """SELECT event_id, event_id % 100 + 0.5::DOUBLE AS duration, event_id * 10 AS size,
  CASE WHEN event_id % 2 = 1 THEN 1080 ELSE event_id % 1920 + 1 END AS width, CASE WHEN event_id % 2 = 1 THEN event_id % 1920 + 1 ELSE 1080 END AS height FROM events""",

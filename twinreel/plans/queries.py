@@ -104,8 +104,8 @@ def _sorted(spark, sf_dir, key: Callable, reverse: bool):
     table_ = groups.sizes(members).join(groups.max_distance(members), "group_id").join(lead, "group_id").join(first, "group_id")
     value = key(table_)
     # groups come in reverse order of their leaders; that order settles ties
-    ties = [F.desc("lead_duration"), F.desc("lead_path")]
-    return table_.select("group_id", groups.ranked(table_, value.asc() if not reverse else value.desc(), ties).alias("place"))
+    order = [value.asc() if not reverse else value.desc(), F.desc("lead_duration"), F.desc("lead_path")]
+    return groups.ranked(table_.select("group_id", "size", "max_distance", "lead_duration", "lead_path", "first"), order).select("group_id", "place")
 
 
 def sort_num_matches(spark, sf_dir):
@@ -239,7 +239,9 @@ def drop_deleted(spark, sf_dir):
 
 
 def _confirmed_groups(spark, sf_dir):
-    return _confirmed(spark, sf_dir).select(F.col("component_id").alias("group_id"), "path", F.lit(False).alias("is_reference"))
+    """Groups whose members come in the reverse order of their ids."""
+    place = F.row_number().over(Window.partitionBy("component_id").orderBy(F.desc("id")))
+    return _confirmed(spark, sf_dir).select(F.col("component_id").alias("group_id"), "path", F.lit(False).alias("is_reference"), place.alias("place"))
 
 
 def filter_groups(spark, sf_dir):
@@ -252,9 +254,11 @@ def extract_reference(spark, sf_dir):
 
 
 def remove_known(spark, sf_dir):
-    """Groups by language and length without what is confirmed already."""
+    """Groups by length, members in the reverse order of their ids, without what
+    is confirmed already."""
     docs = document_items(spark, sf_dir)
-    rough = docs.select((F.col("duration") % 50).cast("bigint").alias("group_id"), "path", F.lit(False).alias("is_reference"))
+    group = (F.col("duration") % 50).cast("bigint")
+    rough = docs.select(group.alias("group_id"), "path", (-F.col("id")).alias("place"))
     return groups.remove_known(rough, _confirmed(spark, sf_dir).select("component_id", "path"))
 
 
@@ -343,6 +347,7 @@ def resolution_parse(spark, sf_dir):
         .when(k % 7 == 5, F.concat(F.lit("u"), (k % 9).cast("string")))
         .otherwise(F.lit("keep this"))
     )
+    text = F.when(k % 11 == 3, F.replace(text, F.lit(" "), F.lit(""))).when(k % 11 == 5, F.concat(text, F.lit("98765432109876543210"))).otherwise(text)
     rows = part.select("p_partkey", text.alias("text"), parsing.instruction(text).alias("i"))
     errors = F.when(F.col("i").isNotNull(), parsing.instruction_errors(F.col("i"), F.lit(6)))
     return rows.select("p_partkey", "text", "i.untrash", "i.basename_idx", "i.dirname_idx", "i.contents_idx", errors.alias("errors"))
