@@ -94,7 +94,7 @@ def byte_size(n: Column) -> Column:
     steps = ((1 << 30, "GiB"), (1 << 20, "MiB"), (1 << 10, "KiB"))
     out = None
     for step, unit in steps:
-        text = F.concat(F.format_number(n / step, "0.00"), F.lit(f" {unit}"))
+        text = F.concat(F.format_string("%.2f", n / F.lit(float(step))), F.lit(f" {unit}"))
         out = F.when(n >= step, text) if out is None else out.when(n >= step, text)
     return out.otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
@@ -138,13 +138,53 @@ def strip_comments(text: str) -> str:
     return "".join(out)
 
 
+#: Fields of a cache's metadata line, and the words that the first three may be
+#: (fixed values).
 METADATA = ("os", "backend", "crop", "skip_forward", "version")
+WORDS = {"os": ("Windows", "Unix"), "backend": ("FfmpegBackend", "GstreamerBackend"), "crop": ("None", "Letterbox", "Motion")}
 
 
 def parse_metadata(text: Column) -> Column:
-    """The five fields of a cache's metadata line; words in lower case."""
-    parts = F.split(F.trim(text), ",")
-    fields = (F.lower(F.trim(F.get(parts, F.lit(i)))) for i in range(5))
-    os, backend, cropping, skip, version = fields
-    made = F.struct(os.alias("os"), backend.alias("backend"), cropping.alias("crop"), skip.try_cast("double").alias("skip_forward"), version.try_cast("int").alias("version"))
+    """The five fields of a cache's metadata line, in any case, with ``error``: the
+    first field that is none of its words or no number; null if there are not
+    five."""
+    parts = F.split(text, ",")
+    raw = {name: F.get(parts, F.lit(i)) for i, name in enumerate(METADATA)}
+    fields = {n: F.lower(F.trim(raw[n])) for n in WORDS}
+    fields |= {"skip_forward": raw["skip_forward"].try_cast("double"), "version": raw["version"].try_cast("bigint")}
+    fine = {n: fields[n].isin([w.lower() for w in words]) for n, words in WORDS.items()} | {n: fields[n].isNotNull() for n in ("skip_forward", "version")}
+    error = F.coalesce(*(F.when(~fine[n], F.concat(F.lit(f"{n}: "), raw[n])) for n in METADATA))
+    made = F.struct(*(fields[n].alias(n) for n in METADATA), error.alias("error"))
     return F.when(F.size(parts) == 5, made)
+
+
+def format_metadata(os: Column, backend: Column, cropping: Column, skip: Column, version: Column) -> Column:
+    """A cache's metadata line, whole seconds without a point."""
+    whole = F.when(skip == F.floor(skip), F.floor(skip).cast("bigint").cast("string")).otherwise(skip.cast("string"))
+    return F.concat_ws(",", os, backend, cropping, whole, version.cast("string"))
+
+
+def metadata_mismatch(parsed: Column, wanted: Column) -> Column:
+    """The first field in which a cache's metadata differ from what is wanted;
+    null if none does."""
+    return F.coalesce(*(F.when(parsed[n] != wanted[n], F.concat(F.lit(f"{n} mismatch: Act: "), parsed[n].cast("string"), F.lit(", Exp: "), wanted[n].cast("string"))) for n in METADATA))
+
+
+STREAMS = "format struct<duration:string>, streams array<struct<codec_type:string,width:bigint,height:bigint,avg_frame_rate:string>>"
+
+
+def stream_info(probe: Column) -> Column:
+    """(duration, width, height, frame_rate) over all video streams of a probe's
+    JSON: the duration and the first stream's rate, and the size of the largest
+    stream, the first of several; null without a video stream."""
+    j = F.from_json(probe, STREAMS)
+    videos = F.filter(j["streams"], lambda s: s["codec_type"] == "video")
+    area = lambda s: F.coalesce(s["width"] * s["height"], F.lit(-1))
+    largest = F.reduce(F.slice(videos, 2, F.greatest(F.size(videos), F.lit(1))), F.get(videos, F.lit(0)), lambda best, s: F.when(area(s) > area(best), s).otherwise(best))
+    rate = F.split(F.get(videos, F.lit(0))["avg_frame_rate"], "/")
+    number = lambda i: F.get(rate, F.lit(i)).try_cast("double")
+    made = F.struct(
+        j["format"]["duration"].try_cast("double").alias("duration"), largest["width"].alias("width"), largest["height"].alias("height"),
+        F.try_divide(number(0), number(1)).alias("frame_rate"),
+    )
+    return F.when(F.size(videos) > 0, made)

@@ -76,3 +76,19 @@ def trash_path(path: Column, trash: str) -> Column:
 
 def untrash_path(path: Column, trash: str) -> Column:
     return F.substring(path, F.lit(len(trash.rstrip("/")) + 1), F.length(path))
+
+
+def walked(path: Column, roots: Iterable[str], exclude: Iterable[str] = (), extensions: Iterable[str] = ()) -> Column:
+    """Whether a walk from the roots comes by a file: it enters no hidden folder,
+    none whose name has a barred extension, and no excluded one."""
+    barred = [e.lower() for e in extensions]
+
+    def below(root: str) -> Column:
+        rest = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
+        parts = F.split(rest, "/")
+        open_ = ~F.exists(parts, lambda p: p.startswith("."))
+        if barred:
+            open_ &= ~F.exists(parts, lambda p: extension(p).isin(barred))
+        return under(path, [root]) & open_
+
+    return reduce(lambda a, b: a | b, map(below, roots), F.lit(False)) & ~under(path, exclude)

@@ -10,6 +10,8 @@ from ..functions.hashing import DCT_SIDE, HASH_SIDE, HASH_WORDS
 
 #: Coefficients this small are rounding noise and count as zero.
 NOISE = 1e-6
+#: Weights of red, green and blue (fixed values).
+LUMA = (2126, 7152, 722)
 
 
 @lru_cache(maxsize=256)
@@ -30,8 +32,8 @@ def resize(frame: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def luma(frame: np.ndarray) -> np.ndarray:
-    """Gray of a colour frame by the weights of Rec. 709."""
-    return np.clip(np.rint(frame.astype(np.float64) @ np.array([0.2126, 0.7152, 0.0722])), 0, 255).astype(np.uint8)
+    """Gray of a colour frame by the weights of Rec. 709 in whole numbers, cut off."""
+    return (frame.astype(np.int64) @ np.array(LUMA) // sum(LUMA)).astype(np.uint8)
 
 
 @lru_cache(maxsize=8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
@@ -29,17 +29,18 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The pairs as a table, and a mark of them, which is made on the way."""
+        seen = Observation()
+        marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
+        out = materialize(df.observe(seen, *marks), name)
+        return out, (seen.get["n"], seen.get["s"])
 
-    pairs = materialize(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name
-    )
-    before = mark(pairs)
+    pairs, before = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while before[0]:
-        last, pairs = pairs, materialize(star(star(pairs, True), False), name)
+        last = pairs
+        pairs, after = written(star(star(pairs, True), False))
         discard(last)
-        after = mark(pairs)
         if after == before:
             break
         before = after

@@ -6,7 +6,7 @@ they become arrays only in sinks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,3 +159,42 @@ def quality_rank(value: Column, by: Sequence[str], nonzero: Column) -> Column:
     order, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
     share = (F.rank().over(order) - 1) / F.count(F.lit(1)).over(whole)
     return F.when(F.max(nonzero.cast("int")).over(whole) == 1, share).otherwise(F.lit(0.0))
+
+
+def filter_statistics(before: DataFrame, after: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """``metric, n``: groups before and after the filters, members that went, and
+    pairs of the confirmed groups, which are counted and not listed."""
+    def count(metric: str, rows: DataFrame, value: Column) -> DataFrame:
+        return rows.agg(value.cast("bigint").alias("n")).select(F.lit(metric).alias("metric"), F.coalesce("n", F.lit(0)).alias("n"))
+
+    held = confirmed.groupBy("component_id").agg(F.count("*").alias("c"))
+    return (
+        count("groups_before", before, F.countDistinct("group_id"))
+        .unionByName(count("groups_after", after, F.countDistinct("group_id")))
+        .unionByName(count("members_before", before, F.count("*")))
+        .unionByName(count("members_after", after, F.count("*")))
+        .unionByName(count("confirmed_pairs", held, F.sum(F.col("c") * (F.col("c") - 1) / 2)))
+    )
+
+
+def display_confirmed(confirmed: DataFrame, keep: Column, is_reference: Column | None = None) -> DataFrame:
+    """``group_id, reference_path, path`` of the confirmed groups: without
+    references the members that ``keep`` holds for, else a row for every reference
+    and other member of what is kept."""
+    whole = confirmed.select(F.col("component_id").alias("group_id"), "path", F.lit(False).alias("is_reference"))
+    kept = filter_members(whole, keep)
+    if is_reference is None:
+        return kept.select("group_id", F.lit(None).cast("string").alias("reference_path"), "path")
+    return extract_references(kept, is_reference).select("group_id", "reference_path", "path")
+
+
+def display_rejected(rejected: DataFrame, keep: Callable[[Column], Column], is_reference: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``lo, hi`` of the rejected pairs both of whose ends are kept; with references
+    those of a reference and another path, the reference first."""
+    lo, hi = F.col("lo"), F.col("hi")
+    kept = rejected.where(keep(lo) & keep(hi))
+    if is_reference is None:
+        return kept.select("lo", "hi")
+    first = F.when(is_reference(lo), lo).otherwise(hi)
+    other = F.when(is_reference(lo), hi).otherwise(lo)
+    return kept.where(is_reference(lo) != is_reference(hi)).select(first.alias("lo"), other.alias("hi"))

@@ -3,6 +3,8 @@ library works in rounds, nested loops where it joins by bins."""
 
 from __future__ import annotations
 
+from . import library, media
+
 
 def _items(constant: bool = False) -> str:
     duration = "60" if constant else "60 + vec_id % 40"
@@ -121,6 +123,10 @@ _A, _B = ("o_orderkey % 30", "o_orderkey % 23", "o_orderkey % 17", "o_orderkey %
 
 
 def oracle_sql() -> dict[str, str]:
+    return _named() | media.oracle_sql() | library.oracle_sql()
+
+
+def _named() -> dict[str, str]:
     claims = "SELECT leader_path, member_path, distance FROM claims"
     bound = lambda f: f"CAST(trunc(CAST({f} AS DOUBLE) * a.duration) AS INT)"
     return {

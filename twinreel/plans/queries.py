@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crops, hashing, parsing, paths
 from ..operators import cache, curation, groups, search
 from ..sources.adapters import document_items, embedding_items, file_log, page_paths, table
+from . import library, media
 
 #: Bits of the test hashes, and the tolerances that queries use.
 SCALE, TOLERANCE, TIGHT, WIDE = 64, 0.35, 0.3, 0.4
@@ -386,4 +387,4 @@ ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | media.queries() | library.queries()
