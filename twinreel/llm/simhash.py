@@ -86,6 +86,8 @@ def golay_keys(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (segment[:, None] ^ patterns) >> 11, there
 
 
+#: Bits in which fingerprints that link may differ.
+RADIUS = 3
 NEAR_SIDE, ALL_SIDE = 1, 2
 #: Nodes of which one task makes the keys.
 TASK_NODES = 100_000
@@ -197,6 +199,11 @@ def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], radius: int
     )
 
 
+def near_pivot(radius: int) -> str:
+    """Whether a row of ``crowded_keys`` is near its key's pivot."""
+    return f"node <> pivot and bit_count(check ^ pivot_check) <= {radius}"
+
+
 def components(nodes: DataFrame, keys: Callable, words: list[str], radius: int, verify: Callable[[DataFrame], DataFrame] | None = None, name: str = "simhash") -> DataFrame:
     """``node, root`` of the nodes that link to any other.
 
@@ -205,7 +212,7 @@ def components(nodes: DataFrame, keys: Callable, words: list[str], radius: int,
     """
     verify = verify or (lambda pairs: pairs)
     crowd = crowded_keys(nodes, keys, words, radius, f"{name}-keys")
-    near = crowd.where(F.expr(f"node <> pivot and bit_count(check ^ pivot_check) <= {radius}"))
+    near = crowd.where(near_pivot(radius))
     spokes = materialize(verify(near.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()), f"{name}-spokes")
     roots = connected_components(spokes, f"{name}-roots")
     placed = crowd.where("crowd > 2").join(roots, "node", "left").select("key", "side", "node", "check", F.coalesce("root", "node").alias("root"))
@@ -223,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer, and a component is named by its smallest id."""
     rows = materialize(fingerprints(docs, width, 42, id_col, text_col), "simhash-rows")
     nodes = rows.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("first_id"))
-    linked = components(nodes.select("node", F.col("node").alias("check"), F.col("node").alias("word")), complete_keys, ["word"], 3)
+    linked = components(nodes.select("node", F.col("node").alias("check"), F.col("node").alias("word")), complete_keys, ["word"], RADIUS)
     placed = nodes.join(linked, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
