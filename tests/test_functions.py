@@ -42,8 +42,8 @@ def test_sampling_plan(spark):
 
 
 def test_metadata(spark):
-    got = column(spark, parsing.parse_metadata(F.col("t")), "t string", ("Unix,FfmpegBackend,Letterbox,15,1",), ("a,b",))
-    assert tuple(got[0]) == ("unix", "ffmpegbackend", "letterbox", 15.0, 1) and got[1] is None
+    got = column(spark, parsing.parse_metadata(F.col("t")), "t string", ("Unix,FfmpegBackend,Letterbox,15,1",), ("a,b",), ("unix,other,none,x,1",))
+    assert tuple(got[0]) == ("unix", "ffmpegbackend", "letterbox", 15.0, 1, None) and got[1] is None and got[2]["error"] == "backend: other"
 
 
 @pytest.mark.parametrize(

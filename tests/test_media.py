@@ -135,3 +135,44 @@ def test_hash_videos_operator(spark):
     rows = {r["path"]: r for r in hash_videos(text_frames(docs), CreationOptions(cropdetect="none")).collect()}
     assert rows["/doc/2"]["err_kind"] == rows["/doc/3"]["err_kind"] == "NotEnoughFrames"
     assert rows["/doc/4"]["err_kind"] is None and len(rows["/doc/4"]["hash"]) == 16
+
+
+EDGE = [255, 220, 220, 255]
+
+
+@pytest.mark.parametrize(
+    ("first", "second", "expected"),
+    [
+        # two regions, the larger one is chosen
+        ([EDGE, [220, 80, 255, 220], [220, 255, 255, 220], [255] * 4, EDGE, [220, 80, 80, 220], [220, 80, 80, 220], [255] * 4],
+         [EDGE, [220, 20, 255, 220], [220, 255, 255, 220], [255] * 4, EDGE, [220, 20, 20, 220], [220, 20, 20, 220], [255] * 4], (1, 1, 5, 1)),
+        # two of nearly equal areas, the upper one is chosen
+        ([EDGE, [220, 80, 80, 220], [220, 255, 80, 220], [255] * 4, EDGE, [220, 80, 80, 220], [220, 80, 80, 220], [255] * 4],
+         [EDGE, [220, 20, 255, 220], [220, 20, 255, 220], [255] * 4, EDGE, [220, 20, 20, 220], [220, 20, 20, 220], [255] * 4], (1, 1, 1, 5)),
+        # one pixel in the top left corner
+        ([[80, 220, 220, 255], [220, 255, 255, 220], [220, 255, 255, 220], [255] * 4, EDGE, [220, 255, 255, 220], [220, 255, 255, 220], [255, 220, 255, 255]],
+         [[20, 220, 220, 255], [220, 255, 255, 220], [220, 255, 255, 220], [255] * 4, EDGE, [220, 255, 255, 220], [220, 255, 255, 220], [255] * 4], (0, 3, 0, 7)),
+        # a square in the bottom right corner
+        ([EDGE, [220, 255, 255, 220], [220, 255, 255, 220], [255] * 4, EDGE, [220, 255, 255, 220], [220, 255, 20, 20], [255, 255, 20, 20]],
+         [EDGE, [220, 255, 255, 220], [220, 255, 255, 220], [255] * 4, EDGE, [220, 255, 255, 220], [220, 255, 40, 20], [255, 255, 20, 40]], (2, 0, 6, 0)),
+    ],
+)
+def test_motion_regions(first, second, expected):
+    assert sides(C.motion_crop([np.array(f, np.uint8) for f in (first, second)])) == expected
+
+
+def test_motion_needs_two_frames_of_a_size():
+    frame = np.zeros((8, 8), np.uint8)
+    assert C.motion_crop([frame]) is None and C.motion_crop([frame, np.zeros((9, 8), np.uint8)]) is None
+
+
+def test_an_unfair_crop_leaves_the_letterbox(monkeypatch):
+    crops = iter([C.Crop(100, 100, 45, 45, 0, 0), C.Crop(100, 100, 0, 0, 40, 40)])  # 10 x 100 and 100 x 20
+    monkeypatch.setattr(C, "motion_pass", lambda frames: next(crops))
+    r = np.random.default_rng(0)
+    frames = [r.integers(0, 256, (100, 100)).astype(np.uint8) for _ in range(2)]
+    assert sides(C.motion_crop(frames)) == (0, 0, 0, 0)
+
+
+def test_luma_is_cut_off():
+    assert T.luma(np.array([[[255, 255, 255], [1, 1, 1], [10, 20, 30]]], np.uint8)).tolist() == [[255, 1, 18]]

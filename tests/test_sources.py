@@ -1,8 +1,10 @@
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
 from twinreel.operators import resolution
-from twinreel.sources import cache_store, frames, listing, sinks
+from twinreel.sources import cache_store, frames, listing, match_store, sinks
 from twinreel.streaming import updates
 
 GROUPS = [(1, "/a/x.mp4", False), (1, "/b/longer.mp4", False), (2, "/r/ref.mp4", True), (2, "/c/y.avi", False)]
@@ -98,4 +100,50 @@ def test_a_plan_carried_out(tmp_path):
 def test_frames_in_memory():
     source = frames.MemoryFrames({"v": list(range(10))})
     assert list(source.frames("v", 2.0, 1.5, 4)) == [3, 4, 5, 6]
-    assert "-ss" not in frames.FfmpegFrames(4, 4).command("v", 1.0, 0.9, 2)
+    assert "-ss" not in frames.FfmpegFrames().command("v", 1.0, 0.9, 2)
+
+
+def test_a_frame_is_read_whole_or_in_time():
+    source = frames.FfmpegFrames(timeout=0.5)
+    process = subprocess.Popen(["sh", "-c", "printf abc; sleep 0.1; printf defgh; sleep 5"], stdout=subprocess.PIPE)
+    assert source.read(process, 6) == b"abcdef"
+    with pytest.raises(TimeoutError):
+        source.read(process, 6)
+    process.kill()
+    assert source.read(subprocess.Popen(["printf", "ab"], stdout=subprocess.PIPE), 6) == b"ab"
+    with pytest.raises(RuntimeError, match="no such thing"):
+        frames.run(["sh", "-c", "echo no such thing >&2; exit 3"], 5)
+
+
+def test_walk(spark, tmp_path):
+    for name in ("a/x.mp4", "a/.hidden/y.mp4", "a/skip.py/z.mp4", "a/b/c/w.AVI", "a/b/notes.txt", "out/v.mp4", "repo/.git/config", "repo/build/q.mp4", "repo/keep/build.mp4", "repo/r.log.mp4"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "repo/.gitignore").write_text("# rules\nbuild/\n*.log.*\n!none\n")
+    (tmp_path / "a/b/.ignore").write_text("/c/**\n")
+    found = listing.walk(spark, [str(tmp_path)], [str(tmp_path / "out")], ["py", "TXT"])
+    assert {r["path"].removeprefix(f"{tmp_path}/") for r in found.collect()} == {"a/x.mp4", "repo/keep/build.mp4"}
+    with pytest.raises(FileNotFoundError):
+        listing.walk(spark, [str(tmp_path / "none")])
+
+
+def test_ignore_rules():
+    rules = listing.ignore_rules("*.tmp\n!keep.tmp\n/top\ndocs/*.md\n**/deep/?.x\n[!a]bc\n", "/r")
+    hit = {p for p in ("/r/a.tmp", "/r/d/b.tmp", "/r/keep.tmp", "/r/top", "/r/d/top", "/r/docs/a.md", "/r/docs/s/a.md", "/r/x/deep/y.x", "/r/xbc", "/r/abc") if listing.ignored(p, False, rules)}
+    assert hit == {"/r/a.tmp", "/r/d/b.tmp", "/r/top", "/r/docs/a.md", "/r/x/deep/y.x", "/r/xbc"}
+
+
+def test_match_store(spark, tmp_path):
+    store = match_store.MatchStore(spark, f"{tmp_path}/db", keep=2)
+    assert store.load()["confirmed"].count() == 0
+    rows = [("confirmed", 0, "/a"), ("confirmed", 0, "/b"), ("confirmed", 1, "/b"), ("confirmed", 1, "/c"), ("confirmed", 2, "/d"), ("confirmed", 2, "/e"), ("falsepos", 3, "/x"), ("falsepos", 3, "/y")]
+    store.merge(spark.createDataFrame(rows, "verdict string, set_id bigint, path string"))
+    groups_of = lambda: sorted(sorted(r["p"]) for r in store.load()["confirmed"].groupBy("component_id").agg(F.collect_list("path").alias("p")).collect())
+    assert groups_of() == [["/a", "/b", "/c"], ["/d", "/e"]] and [tuple(r) for r in store.load()["rejected"].collect()] == [("/x", "/y")]
+    store.merge(spark.createDataFrame([("unmatch", 0, "/a"), ("unmatch", 0, "/c")], "verdict string, set_id bigint, path string"))
+    assert groups_of() == [["/d", "/e"]]
+    store.save({"contents": spark.createDataFrame([("/d", 1, "D"), ("/e", 1, "E")], match_store.TABLES["contents"])})
+    store.fix_moved(spark.createDataFrame([("/d", 1, "D"), ("/new/e", 1, "E"), ("/x", 1, "X")], match_store.TABLES["contents"]))
+    assert groups_of() == [["/d", "/new/e"]] and store.load()["rejected"].count() == 0 and len(store.versions()) == 2
+    store.prune(spark.createDataFrame([("/d",)], "path string"))
+    assert groups_of() == []

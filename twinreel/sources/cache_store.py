@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ class CacheStore:
 
     def __init__(self, spark: SparkSession, folder: str, backend: str = "ffmpeg", crop: str = "letterbox", skip_forward: float = 15.0, duration: float = 10.0):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.settings = {"backend": backend, "crop": crop, "skip_forward": skip_forward, "duration": duration, "version": VERSION}
+        self.settings = {"os": "unix" if os.name == "posix" else os.name, "backend": backend, "crop": crop, "skip_forward": skip_forward, "duration": duration, "version": VERSION}
 
     def _versions(self) -> list[str]:
         jvm = self.spark._jvm
