@@ -3,12 +3,14 @@
 A text's key is its 64-bit hash.  The directory starts with one bucket; an
 overfull bucket is split by one more leading bit of the key, and the directory
 doubles whenever a bucket as deep as itself is split.  What a split needs is a
-histogram of leading key bits, which is bounded by ``max_depth`` and not by the
-rows.  Copies share all their bits, so no split parts them; but each mapper
+histogram of leading key bits, which is bounded by MAX_DEPTH and not by the rows;
+beyond 2 ** MAX_DEPTH full buckets they grow, which costs time and no memory, as
+owners stream.  Copies share all their bits, so no split parts them; but each mapper
 combines equal texts before the shuffle, and a bucket gets one entry a text and
 mapper however many copies there are.
 
-Each owner task walks its range of keys in order, chains the texts that share a
+Each bucket has an owner task of its own, and their keys are ranges that follow
+one another.  An owner walks its range in order, chains the texts that share a
 key and tells them apart by their bytes.  The finished index (one row a
 distinct text) is written to shared files and probed by key; a chain of
 several texts, which 64 bits make rare, is probed by text as well.
@@ -30,12 +32,12 @@ from .common import BATCH_BYTES, map_arrow, materialize, text_or_empty
 
 #: Bytes of text that a bucket holds before it is split.
 BUCKET_BYTES = 32 << 20
-#: Leading bits that the directory uses at most.
-MAX_DEPTH = 16
+#: Leading bits that the directory uses at first, and at most.
+START_DEPTH, MAX_DEPTH = 14, 20
 
-PARTIAL = "key bigint, text string, keep_id bigint, n bigint"
+PARTIAL = "bucket int, key bigint, text string, keep_id bigint, n bigint"
 INDEX = "key bigint, chain int, chains int, keep_id bigint, group_size bigint, text_sha256 string, text string"
-PARTIAL_ARROW = pa.schema([("key", pa.int64()), ("text", pa.string()), ("keep_id", pa.int64()), ("n", pa.int64())])
+PARTIAL_ARROW = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("text", pa.string()), ("keep_id", pa.int64()), ("n", pa.int64())])
 INDEX_ARROW = pa.schema(
     [("key", pa.int64()), ("chain", pa.int32()), ("chains", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string()), ("text", pa.string())]
 )
@@ -67,8 +69,10 @@ def directory(histogram: dict[int, int], max_depth: int = MAX_DEPTH, capacity: i
     return depth, slots
 
 
-def combine(batches: Iterator[pa.RecordBatch], limit: int = 8 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Merge equal texts of a mapper, ``limit`` bytes of distinct ones at once."""
+def combine(batches: Iterator[pa.RecordBatch], depth: int = 0, slots: np.ndarray | None = None, limit: int = 8 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Merge equal texts of a mapper, ``limit`` bytes of distinct ones at once, and
+    look up their bucket in the directory."""
+    slots = np.zeros(1, np.int32) if slots is None else slots
     seen: dict[tuple[int, str], list[int]] = {}
     held = 0
 
@@ -84,8 +88,10 @@ def combine(batches: Iterator[pa.RecordBatch], limit: int = 8 * BATCH_BYTES) ->
             yield pack(part)
 
     def pack(part: list) -> pa.RecordBatch:
+        keys = np.array([k for (k, _), _ in part], np.int64).view(np.uint64)
+        buckets = slots[(keys >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.zeros(len(part), np.int32)
         return pa.RecordBatch.from_pydict(
-            {"key": [k for (k, _), _ in part], "text": [t for (_, t), _ in part], "keep_id": [v[0] for _, v in part], "n": [v[1] for _, v in part]},
+            {"bucket": pa.array(buckets), "key": [k for (k, _), _ in part], "text": [t for (_, t), _ in part], "keep_id": [v[0] for _, v in part], "n": [v[1] for _, v in part]},
             schema=PARTIAL_ARROW,
         )
 
@@ -141,25 +147,30 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pack()
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, max_depth: int | None = None) -> DataFrame:
     """The index as shared files, one row a distinct text: ``key, chain,
     chains`` (place in the key's chain, its length), ``keep_id`` (largest id),
     ``group_size, text_sha256`` and, in chains of several, ``text``."""
     spark: SparkSession = docs.sparkSession
     keyed = docs.select(F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).alias("text"), F.col(id_col).cast("bigint").alias("keep_id"), F.lit(1).cast("bigint").alias("n"))
-    prefix = F.shiftrightunsigned("key", 64 - max_depth)
     # one entry a key: copies do not count again
     sizes = keyed.groupBy("key").agg(F.max(F.octet_length("text").cast("bigint") + 64).alias("size"))
-    histogram = {r[0]: r[1] for r in sizes.groupBy(prefix.alias("p")).agg(F.sum("size")).collect()}
-    depth, slots = directory(histogram, max_depth, bucket_bytes)
-    table = F.array(*map(F.lit, slots)) if len(slots) <= 1024 else F.from_json(F.lit(str(slots)), "array<int>")
-    slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("bigint")
-    owners = max(slots, default=0) + 1
+
+    def histogram(bits: int) -> dict[int, int]:
+        prefix = F.shiftrightunsigned("key", 64 - bits).alias("p")
+        return {r[0]: r[1] for r in sizes.groupBy(prefix).agg(F.sum("size")).collect()}
+
+    bits = max_depth or START_DEPTH
+    counted = histogram(bits)
+    if max_depth is None and sum(counted.values()) > bucket_bytes << (START_DEPTH - 3):  # the first bits would not part them
+        bits = MAX_DEPTH
+        counted = histogram(bits)
+    depth, slots = directory(counted, bits, bucket_bytes)
+    sent = spark.sparkContext.broadcast(np.array(slots, np.int32))
     routed = (
-        map_arrow(keyed, combine, PARTIAL)
-        .withColumn("bucket", F.get(table, slot.cast("int")))
-        .repartition(max(owners, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
-        .sortWithinPartitions("bucket", "key")
+        map_arrow(keyed, lambda batches: combine(batches, depth, sent.value), PARTIAL)
+        .repartitionById(max(slots, default=0) + 1, F.col("bucket"))
+        .sortWithinPartitions("key")
         .select("key", "text", "keep_id", "n")
     )
     return materialize(map_arrow(routed, own, INDEX), "extendible-hash")

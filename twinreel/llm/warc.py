@@ -28,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_or_empty
+from .common import discard, map_arrow, materialize, text_or_empty
 
 MIN_REVISIT = 100
 #: Plain bytes after which a frame ends, and compressed ones that end a bundle.
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 4 << 20
 
+#: Payloads that several records have, up to which their digests go to every task.
+FEW_DIGESTS = 200_000
+
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
@@ -142,11 +145,12 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     records, frames``."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text_or_empty(html_col).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("n", F.octet_length("html"))
-    first = (
+    first = materialize(
         rows.where(f"n >= {MIN_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-        .select(F.col("digest").alias("of"), "first")
+        .select(F.col("digest").alias("of"), "first"), "warc-first"
     )
-    roles = rows.join(first, (F.col("digest") == F.col("of")) & (F.col("n") >= MIN_REVISIT), "left")
+    few = first.count() <= FEW_DIGESTS  # then no payload has to move
+    roles = rows.join(F.broadcast(first) if few else first, (F.col("digest") == F.col("of")) & (F.col("n") >= MIN_REVISIT), "left")
     roles = roles.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,9 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         if writer.index:
             yield done()
 
-    return materialize(map_arrow(roles, pack, "name string, content binary, records bigint, frames bigint"), "warc-bundles")
+    bundles = materialize(map_arrow(roles, pack, "name string, content binary, records bigint, frames bigint"), "warc-bundles")
+    discard(first)
+    return bundles
 
 
 def read(bundles: DataFrame) -> DataFrame:
