@@ -205,6 +205,38 @@ def test_simhash_components(spark, docs, empty):
     assert {x["id"]: x["component_id"] for x in got} == {i: find(i) for i in fp}
 
 
+def crowd_of(n, seed):
+    """Fingerprints a few bits from one, as a group of near copies has them."""
+    r = np.random.default_rng(seed)
+    flips = (r.random((n, 64)) < 0.05) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    return np.sort(np.unique(np.uint64(0x123456789ABCDEF) ^ flips.astype(np.uint64)).view(np.int64))
+
+
+@pytest.mark.parametrize("crossing", [simhash.CROSSING, 0])
+def test_a_crowd_against_all_pairs(spark, monkeypatch, crossing):
+    monkeypatch.setattr(simhash, "CROSSING", crossing)  # none: all of the crowd meets by balls
+    prints = crowd_of(400, 1)
+    nodes = spark.createDataFrame([(int(x), int(x), int(x)) for x in prints], "node bigint, check bigint, word bigint")
+    got = {r["node"]: r["root"] for r in simhash.components(nodes, simhash.complete_keys, ["word"], 3, name="crowd").collect()}
+    near = np.bitwise_count(prints.view(np.uint64)[:, None] ^ prints.view(np.uint64)[None, :]) <= 3
+    label = np.arange(len(prints))
+    for _ in range(len(prints)):
+        fresh = np.where(near, label[None, :], len(prints)).min(1)
+        if (fresh == label).all():
+            break
+        label = fresh
+    linked = near.sum(1) > 1
+    assert {int(prints[i]): int(prints[label[i]]) for i in np.flatnonzero(linked)} == {n: int(prints[label[np.searchsorted(prints, r)]]) for n, r in got.items()}
+
+
+def test_work_for_a_crowd_is_linear(spark):
+    rows = []
+    for n in (500, 2000):
+        nodes = spark.createDataFrame([(int(x), int(x), 0) for x in crowd_of(n, 2)], "node bigint, check bigint, root bigint")
+        rows.append(simhash.balls(nodes, 1).count() + simhash.balls(nodes, 2).count())
+    assert rows[1] <= 4.2 * rows[0]
+
+
 def test_a_shared_key_links_in_either_direction(spark):
     """Keys of three nodes each: one that has the key on its near side only,
     one within the radius on the other side, and one far from both."""

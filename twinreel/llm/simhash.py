@@ -17,10 +17,17 @@ each key has 33 bits or more.  Candidates are verified on whole fingerprints.
 Copies collapse to one row a fingerprint before any key is made.  Links of a
 crowded key are found in two steps, lest a large group of near copies emit all
 its pairs: first every fingerprint is compared with one pivot of each of its
-keys, and then only pairs whose components still differ are joined.
-
-Empty and null texts have fingerprint zero and link like any other.  Rows that
-repeat an id get the same component.  An empty table gives an empty result.
+keys, and then only pairs whose components still differ are joined, the largest
+component of a key not with itself.  Where a key's components are so many that
+this would take more than CROSSING pairs a row, its fingerprints meet by balls
+instead: one side goes to all values within one bit, the other to all within two,
+so that any two within three bits have a value in common.  That is a fixed number
+of rows for each fingerprint, however many there are.
+
+Empty and null texts have fingerprint zero and link like any other, very long
+ones are taken whole.  Rows that repeat an id get the same component, named by
+the smallest id, and rows without an id that are alone one without a name.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +38,10 @@ from itertools import combinations, permutations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, map_texts, materialize
+from .common import connected_components, discard, map_arrow, map_texts, materialize
 
 #: x^11+x^10+x^6+x^5+x^4+x^2+1 generates the Golay code (fixed value).
 GENERATOR = 0b110001110101
@@ -91,6 +98,9 @@ RADIUS = 3
 NEAR_SIDE, ALL_SIDE = 1, 2
 #: Nodes of which one task makes the keys.
 TASK_NODES = 100_000
+#: Pairs across components for each row of a key, beyond which its nodes meet by
+#: balls, and nodes that are spread over their balls at once.
+CROSSING, BALL_NODES = 1_000, 256
 
 
 def rows_of(shape: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,16 +197,10 @@ def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], radius: int
     # a node becomes some sixty rows, so tasks are dealt by nodes and not by bytes
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // TASK_NODES + 1)
     made = map_arrow(nodes.select("node", "check", *words).repartition(tasks, "node"), emit, "key bigint, side tinyint, node bigint, check bigint")
-    by_key = Window.partitionBy("key")
-    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "check")).over(by_key)
-    spread = made.select("*", pivot.alias("p"), F.max("node").over(by_key).alias("last"), F.min("node").over(by_key).alias("first"), F.bit_or("side").over(by_key).alias("sides"), F.count("*").over(by_key).alias("crowd"))
-    near = f"node <> p.node and bit_count(check ^ p.check) <= {radius}"
-    return materialize(
-        spread.where(f"first <> last and sides = {NEAR_SIDE | ALL_SIDE} and (crowd > 2 or {near})").select(
-            "key", "side", "node", "check", F.col("p.node").alias("pivot"), F.col("p.check").alias("pivot_check"), "crowd"
-        ),
-        name,
-    )
+    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "check")).alias("p")
+    shared = made.groupBy("key").agg(pivot, F.max("node").alias("last"), F.min("node").alias("first"), F.bit_or("side").alias("sides"), F.count("*").alias("crowd"))
+    shared = shared.where(f"first <> last and sides = {NEAR_SIDE | ALL_SIDE}").select("key", F.col("p.node").alias("pivot"), F.col("p.check").alias("pivot_check"), "crowd")
+    return materialize(made.join(shared, "key").where(f"crowd > 2 or ({near_pivot(radius)})"), name)
 
 
 def near_pivot(radius: int) -> str:
@@ -204,25 +208,65 @@ def near_pivot(radius: int) -> str:
     return f"node <> pivot and bit_count(check ^ pivot_check) <= {radius}"
 
 
-def components(nodes: DataFrame, keys: Callable, words: list[str], radius: int, verify: Callable[[DataFrame], DataFrame] | None = None, name: str = "simhash") -> DataFrame:
-    """``node, root`` of the nodes that link to any other.
+def masks(radius: int) -> np.ndarray:
+    """All words of 64 bits of which ``radius`` or fewer are set."""
+    return np.array([sum(1 << b for b in places) for n in range(radius + 1) for places in combinations(range(64), n)], np.uint64)
 
-    Two nodes link if their ``check`` differs in ``radius`` bits at most and
-    ``verify``, which filters distinct pairs (u, v), keeps them.
-    """
-    verify = verify or (lambda pairs: pairs)
+
+def balls(nodes: DataFrame, radius: int) -> DataFrame:
+    """``code, node, check, root`` for every value within ``radius`` bits of each
+    node's check."""
+    arrow = pa.schema([(n, pa.int64()) for n in ("code", "node", "check", "root")])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = masks(radius)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BALL_NODES):
+                node, check, root = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, BALL_NODES).columns)
+                codes = (check.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), *(pa.array(np.repeat(x, len(flips))) for x in (node, check, root))], schema=arrow)
+
+    return map_arrow(nodes.select("node", "check", "root"), spread, "code bigint, node bigint, check bigint, root bigint")
+
+
+def split_keys(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of keys that hold several components: ``main`` is that of most rows of
+    the key, ``crowd`` its rows, and ``pairs`` how many pairs lie across."""
+    placed = crowd.where("crowd > 2").select("key", "side", "node", "check").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = parts.groupBy("key").agg(F.sum("c").alias("crowd"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("root", "c").alias("main"), F.count("*").alias("roots"))
+    keys = keys.where("roots > 1").select("key", "crowd", "main", ((F.col("crowd") * F.col("crowd") - F.col("squares")) / 2).alias("pairs"))
+    return placed.join(keys, "key")
+
+
+def crossing_pairs(split: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v) across components of a key whose checks are within the radius."""
+    few, many = split.where(f"pairs <= {CROSSING} * crowd"), split.where(f"pairs > {CROSSING} * crowd")
+    near, every = few.where(f"(side & {NEAR_SIDE}) > 0"), few.where(f"(side & {ALL_SIDE}) > 0")
+    link = f"a.node <> b.node and a.root <> b.root and bit_count(a.check ^ b.check) <= {radius}"
+    ends = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")]
+
+    def met(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+        return a.alias("a").join(b.alias("b"), F.expr(f"a.{on} = b.{on} and {link}")).select(*ends)
+
+    out = met(near.where("root <> main"), every, "key").unionByName(met(near.where("root = main"), every.where("root <> main"), "key"))
+    if not many.isEmpty():
+        nodes = many.select("node", "check", "root").distinct()
+        out = out.unionByName(met(balls(nodes, radius // 2), balls(nodes, radius - radius // 2), "code"))
+    return out.distinct()
+
+
+def components(nodes: DataFrame, keys: Callable, words: list[str], radius: int, name: str = "simhash") -> DataFrame:
+    """``node, root`` of the nodes that link to any other: two nodes link if their
+    ``check`` differs in ``radius`` bits at most."""
     crowd = crowded_keys(nodes, keys, words, radius, f"{name}-keys")
-    near = crowd.where(near_pivot(radius))
-    spokes = materialize(verify(near.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()), f"{name}-spokes")
-    roots = connected_components(spokes, f"{name}-roots")
-    placed = crowd.where("crowd > 2").join(roots, "node", "left").select("key", "side", "node", "check", F.coalesce("root", "node").alias("root"))
-    by_key = Window.partitionBy("key")
-    split = placed.select("*", F.min("root").over(by_key).alias("low"), F.max("root").over(by_key).alias("high")).where("low <> high")
-    split = materialize(split.drop("low", "high"), f"{name}-split")
-    a, b = split.where(f"(side & {NEAR_SIDE}) > 0").alias("a"), split.where(f"(side & {ALL_SIDE}) > 0").alias("b")
-    meet = F.expr(f"a.key = b.key and a.node <> b.node and a.root <> b.root and bit_count(a.check ^ b.check) <= {radius}")
-    crossing = verify(a.join(b, meet).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct())
-    return connected_components(spokes.select("u", "v").unionByName(crossing.select("u", "v")), f"{name}-all")
+    near = crowd.where(near_pivot(radius)).select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
+    spokes = materialize(near.distinct(), f"{name}-spokes")
+    split = materialize(split_keys(crowd, connected_components(spokes, f"{name}-roots")), f"{name}-split")
+    discard(crowd)
+    linked = connected_components(spokes.unionByName(crossing_pairs(split, radius)), f"{name}-all")
+    discard(spokes, split)
+    return linked
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -234,4 +278,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = nodes.join(linked, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    found = materialize(rows.join(named, "fp").select("id", "fp", "component_id"), "simhash-groups")
+    discard(rows)
+    return found
