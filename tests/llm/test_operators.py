@@ -80,6 +80,18 @@ def test_bpe_equals_the_tokenizers_library(docs, empty):
     assert Counter(r["decoded"] for r in again) == Counter(r["decoded"] for r in rows)
 
 
+def test_odd_letters_and_marks_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.tokenizer_file(WORD)), bpe.load(WORD)
+    r = random.Random(11)
+    pool = [chr(c) for c in (*range(0x20, 0x250), *range(0x300, 0x3D0), *range(0x590, 0x650), *range(0x89D, 0x900), *range(0x1AB0, 0x1AE0), *range(0x1C80, 0x1CE0), *range(0x1DC0, 0x2010), 0x10D50, 0x1E5D0)]
+    texts = ["\u1dfa\u05bf", "\u1ac1\u1cdc", "\u089d\u0353", "\u1c89x", "\ua7cb\u0301", "\u0130\u0049 \u03a3\u03c2"]
+    texts += ["".join(r.choice(pool) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text.encode("unicode_escape")
+
+
 def test_merges_against_a_plain_loop():
     r = random.Random(3)
     merges = {}
@@ -518,3 +530,107 @@ def test_every_signature_is_gated_by_a_word_of_its_own():
     assert len(SIGNATURES) > 200
     for _, keyword, expression in SIGNATURES:
         assert keyword in expression
+
+
+def plain_fit(rows, positive, prior, epochs=40, batch=512, rate=0.02, decay=1e-3, seed=0):
+    """The same learner, example by example: features, risk, its slope, Adam."""
+    pos, rest = [i for i, p in enumerate(positive) if p], [i for i, p in enumerate(positive) if not p]
+    counts = [Counter(), Counter()]
+    for r, p in zip(rows, positive):
+        counts[int(p)].update(r.tolist())
+    gain = {}
+    for f, n in counts[1].items():
+        if n >= 3:
+            u = (counts[0][f] + 0.5) / (len(rest) + 0.5)
+            gain[f] = (n / len(pos) - u) / (u / len(pos)) ** 0.5
+    chosen = sorted(sorted((f for f in gain if gain[f] >= toxicity.MIN_GAIN), key=lambda f: (-gain[f], f))[: toxicity.MAX_FEATURES])
+    where = {f: i for i, f in enumerate(chosen)}
+    held = [[where[f] for f in set(r.tolist()) if f in where] for r in rows]
+    w, m, v, step = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
+    rng, share = np.random.default_rng(seed), max(1, min(batch, len(pos)) // 2)
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(np.array(rest)), max(1, len(rest) // batch)):
+            drawn = rng.choice(np.array(pos), share)
+            raw = lambda i: w[-1] + sum(w[k] for k in held[i])
+            risk_u = sum(np.log1p(np.exp(raw(i))) for i in part) / len(part)
+            risk_p = sum(np.log1p(np.exp(raw(i))) for i in drawn) / len(drawn)
+            fine = risk_u - prior * risk_p >= 0  # else the negative part alone is climbed down
+            grad = np.zeros(len(w))
+            for i in drawn:
+                s = 1 / (1 + np.exp(-raw(i)))
+                slope = (-prior * (1 - s) - prior * s if fine else prior * s) / len(drawn)
+                grad[[*held[i], -1]] += slope
+            for i in part:
+                s = 1 / (1 + np.exp(-raw(i)))
+                grad[[*held[i], -1]] += (s if fine else -s) / len(part)
+            grad[:-1] += decay * w[:-1]
+            step += 1
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return chosen, w
+
+
+def test_the_learner_against_a_plain_one():
+    r = np.random.default_rng(3)
+    rows, positive = [], []
+    for i in range(300):
+        toxic = i % 4 == 0
+        features = set(r.integers(0, 400, 12).tolist()) | (set(r.integers(400, 430, 5).tolist()) if toxic else set())
+        rows.append(np.array(sorted(features), np.int32))
+        positive.append(bool(toxic and i % 8 == 0))
+    for prior in (0.25, 0.9):  # the larger one makes the risk negative
+        model = toxicity.fit(rows, np.array(positive), prior, epochs=6, batch=64)
+        chosen, w = plain_fit(rows, positive, prior, epochs=6, batch=64)
+        assert model.features.tolist() == chosen and chosen and np.allclose([*model.weights, model.bias], w, atol=1e-8)
+
+
+def plain_tree(units, shards):
+    """Shards of units (digest, weight, tie, values by dimension) by sorting."""
+    total, heavy, rest = sum(u[1] for u in units), [], sum(u[1] for u in units)
+    for digest, weight, *_ in sorted(units, key=lambda u: (-u[1], u[0]))[:shards]:
+        if len(heavy) == shards - 1 or weight * (shards - len(heavy)) <= rest:
+            break
+        heavy.append(digest)
+        rest -= weight
+    out = {d: shards - 1 - i for i, d in enumerate(heavy)}
+
+    def divide(part, first, n):
+        if n == 1 or not part:
+            out.update({u[0]: first for u in part})
+            return
+        widest = max(range(4), key=lambda d: (max(u[3][d] for u in part) - min(u[3][d] for u in part), -d))
+        ordered = sorted(part, key=lambda u: (u[3][widest], u[2]))
+        want, below, cut = sum(u[1] for u in part) * (n // 2) / n, 0, 0
+        for cut, u in enumerate(ordered):
+            if below + u[1] > want:
+                if want - below > below + u[1] - want:
+                    cut += 1
+                break
+            below += u[1]
+        divide(ordered[:cut], first, n // 2)
+        divide(ordered[cut:], first + n // 2, n - n // 2)
+
+    divide([u for u in units if u[0] not in out], 0, shards - len(heavy))
+    return out if total else {}
+
+
+@pytest.mark.parametrize("shards", [5, 8])
+def test_the_tree_against_a_plain_one(spark, shards):
+    r = random.Random(9)
+    rows = [(i, prose(r.randint(1, 120), i // 2)) for i in range(500)] + [(900, prose(4000, 1))]
+    table = odd(spark, rows)
+    raw = sharding.units(table, "doc_id", "text", "source", "lang").collect()
+    low = {d: min(u[d] for u in raw) for d in sharding.DIMENSIONS}
+    high = {d: max(u[d] for u in raw) for d in sharding.DIMENSIONS}
+    top = (1 << sharding.VALUE_BITS) - 1
+    place = lambda u, d: min(top, max(0, int((u[d] - low[d]) * (top / (high[d] - low[d]) if high[d] > low[d] else 0.0))))
+    units = [(u["digest"], u["weight"], u["tie"] % (1 << sharding.HASH_BITS), [place(u, d) for d in sharding.DIMENSIONS]) for u in raw]
+    assert {x["digest"]: x["shard"] for x in sharding.assign(table, shards).collect()} == plain_tree(units, shards)
+
+
+def test_an_edit_encodes_a_few_pretokens_only():
+    tree = token_counts.CountTree(prose(20_000, 8), token_counts.load(BYTE))
+    for place in (0, 50_000, 100_000):
+        before = tree.encoded
+        tree.edit(place, place + 3, "word ")
+        assert tree.encoded - before <= 40

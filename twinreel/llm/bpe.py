@@ -7,8 +7,13 @@ rank, a merge updates three leaves, and it ends when the root holds no
 mergeable pair.  That is n log n for a pre-token of n bytes, so very long junk
 words are no trouble.  A bounded memo keeps the ids of frequent pieces.
 
+Characters are composed and lower-cased, and letters told from others, by the
+tables of the tokenizers library, which are those that a vocabulary was made for;
+everything else is done here.
+
 Null and empty texts have no ids and decode to the empty string.  Rows keep
-their multiplicity; a null id is passed on.
+their multiplicity; a null id is passed on.  Very long texts are encoded whole.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from ..shipping import ship
 from .common import map_texts
@@ -141,9 +149,15 @@ class Memo:
 
 @lru_cache(maxsize=2)
 def letters_of(kind: str) -> str:
-    """Ranges of a class of letters as the interpreter's Unicode tables have
-    them: those of ``regex`` are newer than the tokenizers'."""
-    inside = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
+    """Ranges of a class of letters as the tokenizers' own tables have them: the
+    interpreter's are older, so that what it does not know is asked for there, and
+    those of ``regex`` are of another age again."""
+    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    inside = [k[0] == kind for k in kinds]
+    unknown = " ".join(chr(c) for c in range(0x40000) if kinds[c] == "Cn")  # beyond, no letter is planned
+    for found, _ in Split(Regex(rf"[^\p{{{kind}}}]+"), "removed").pre_tokenize_str(unknown):
+        for c in found:
+            inside[ord(c)] = True
     edges = [c for c in range(0x110001) if (c < 0x110000 and inside[c]) != (c > 0 and inside[c - 1])]
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
 
@@ -182,6 +196,8 @@ class WordBpe:
         for token, i in chain(self.vocab.items(), self.special.items()):
             self.tokens[i] = token
         self.memo = Memo(self.piece)
+        # the library's own tables, which are not those of the interpreter
+        self.compose, self.lower = NFC().normalize_str, Lowercase().normalize_str
 
     def pieces(self, text: str) -> list[str]:
         """Runs without white space: no token, merge or composition of
@@ -210,7 +226,7 @@ class WordBpe:
                 out.append(array("I", [self.special[part]]).tobytes())
             elif part:
                 # lower case letter by letter: no rule looks at a letter's neighbours
-                plain = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
+                plain = part.lower() if part.isascii() else self.lower(self.compose(part))
                 words = [plain] if plain.isalpha() else self.words.findall(plain)
                 out += [self.memo.miss(w) if w.isascii() and w.isalpha() else self.word(w) for w in words]
         return b"".join(out)
