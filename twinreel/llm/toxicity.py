@@ -135,7 +135,7 @@ def gather(texts: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.frombuffer(f, np.int32) for _, f in rows], np.array([i % 2 for i, _ in rows], bool)
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 0) -> Model:
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 20, batch: int = 512, rate: float = 0.02, decay: float = 3e-4, seed: int = 0) -> Model:
     """Minimise the non-negative risk with the logistic loss by Adam."""
     n_pos, n_rest = int(positive.sum()), int((~positive).sum())
     if not n_pos or not n_rest:
@@ -152,8 +152,9 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int
     x = np.zeros((len(rows), len(chosen)), np.uint8)
     for i, r in enumerate(rows):
         at = np.searchsorted(chosen, r)
-        at = at[at < len(chosen)]
-        x[i, at[np.isin(chosen[at], r, assume_unique=True)]] = 1
+        inside = at < len(chosen)
+        at = at[inside]
+        x[i, at[chosen[at] == r[inside]]] = 1
     rng = np.random.default_rng(seed)
     pos, rest = np.flatnonzero(positive), np.flatnonzero(~positive)
     w, m, v = (np.zeros(len(chosen) + 1) for _ in range(3))
