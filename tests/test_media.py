@@ -176,3 +176,28 @@ def test_an_unfair_crop_leaves_the_letterbox(monkeypatch):
 
 def test_luma_is_cut_off():
     assert T.luma(np.array([[[255, 255, 255], [1, 1, 1], [10, 20, 30]]], np.uint8)).tolist() == [[255, 1, 18]]
+
+
+def test_grids():
+    from twinreel.media import compositing as G
+
+    a, b = np.full((2, 3), 1, np.uint8), np.full((2, 3), 2, np.uint8)
+    assert G.side_by_side([a, b]).tolist() == [[1, 1, 1, 2, 2, 2]] * 2 and G.stacked([a, b]).tolist() == [[1] * 3] * 2 + [[2] * 3] * 2
+    assert G.grid([[a], [b, b]]).tolist() == [[1] * 3 + [0] * 3] * 2 + [[2] * 6] * 2 and G.grid([[], []]) is None and G.side_by_side([]) is None
+    with pytest.raises(ValueError):
+        G.grid([[a, a.T]])
+    assert G.grid([[np.zeros((2, 2, 3), np.uint8)] * 2]).shape == (2, 4, 3)
+
+
+def test_edges():
+    from twinreel.media import compositing as G
+
+    assert G.edge_pixels(np.full((40, 40), 9, np.uint8), 80) == 0
+    square = np.zeros((60, 60), np.uint8)
+    square[20:40, 20:40] = 255
+    found = G.edges(square)
+    ys, xs = np.nonzero(found)
+    assert 60 <= found.sum() <= 200 and ys.min() >= 17 and ys.max() <= 42 and xs.min() >= 17 and xs.max() <= 42 and not found[25:35, 25:35].any()
+    faint = np.zeros((60, 60), np.uint8)
+    faint[:, 30:] = 3  # too weak to stand alone
+    assert not G.edges(faint).any()
