@@ -43,7 +43,7 @@ def test_run(spark, tmp_path):
     for name in videos:
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(name)
-    source = frames.MemoryFrames({f"{tmp_path}/{n}": v for n, v in videos.items()})
+    source = frames.MemoryFrames({f"{tmp_path}/{n}": v for n, v in videos.items()}, rate=10.0)  # four seconds each
     base = ["--cache-file", f"{tmp_path}/cache", "--matchdb", f"{tmp_path}/db"]
 
     def run(*arguments):
