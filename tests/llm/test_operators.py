@@ -634,3 +634,52 @@ def test_an_edit_encodes_a_few_pretokens_only():
         before = tree.encoded
         tree.edit(place, place + 3, "word ")
         assert tree.encoded - before <= 40
+
+
+def jaccard(a, b):
+    x, y = set(near_dedup.shingle_set(a).tolist()), set(near_dedup.shingle_set(b).tolist())
+    return len(x & y) / len(x | y)
+
+
+def near_groups(texts):
+    """Smallest id of each component of pairs of 0.8 or more, by all pairs."""
+    sets = {i: set(near_dedup.shingle_set(t or "").tolist()) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in sets.items():
+            like = [j for j, b in sets.items() if 9 * len(a & b) >= 4 * (len(a) + len(b))]
+            low = min([root[i], *(root[j] for j in like)])
+            changed |= low != root[i]
+            root[i] = low
+    return root
+
+
+@pytest.mark.parametrize("crossing", [near_dedup.CROSSING, 0])
+def test_near_copies_against_all_pairs(spark, monkeypatch, crossing):
+    monkeypatch.setattr(near_dedup, "CROSSING", crossing)  # none: all that the pivots leave is refined
+    r, texts = random.Random(21), {}
+    for i in range(60):  # pairs just at the similarity, and the same with one more edit, just below it
+        words = prose(r.randint(30, 260), 7000 + i).split()
+        other = list(words)
+        while jaccard(" ".join(words), " ".join(other)) >= 0.8:
+            last = list(other)
+            other[r.randrange(len(other))] = "edited" + str(r.random())
+        texts |= {i: " ".join(words), 1000 + i: " ".join(last if i % 2 else other)}
+    common = prose(40, 99)
+    for i in range(60):  # a passage that unlike documents share, and near copies that differ from each other
+        texts[2000 + i] = common + " " + prose(60, 8000 + i)
+        words = prose(100, 55).split()
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(100)] = "edit" + str(r.random())
+        texts[3000 + i] = " ".join(words)
+    got = {x["id"]: x["group_id"] for x in near_dedup.groups(odd(spark, list(texts.items()))).collect()}
+    assert got == near_groups(texts)
+
+
+def test_near_dedup_without_ids(spark):
+    words = prose(80, 31).split()
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "more"])), (3, " ".join([*words, "less"])), (4, prose(50, 32)), (None, prose(50, 33))]
+    got = Counter((r["id"], r["group_id"]) for r in near_dedup.groups(odd(spark, rows)).collect())
+    assert got == Counter({(None, 3): 2, (3, 3): 1, (4, 4): 1, (None, None): 1})
