@@ -9,8 +9,8 @@ letters a word is shorter than LENGTH.  Both are the same search over another
 kind of symbol: bytes, or 64-bit hashes of the words that white space parts.
 
 *Shards.*  Equal strings must meet, so a string is sent to the shard of its
-anchor: of its k-grams (k = half the string) the one of least hash, the leftmost
-of several.  Strings of one document that share an anchor follow one another and
+anchor: of its k-grams the one of least hash, the leftmost of several; shorter
+grams make fewer anchors, longer ones keep unlike strings apart.  Strings of one document that share an anchor follow one another and
 make one context, the symbols from the first to the end of the last.  An anchor
 whose hash occurs once cannot hold a repeated string; contexts that occur
 several times are repeated as a whole.  Both are settled by counting hashes,
@@ -29,7 +29,7 @@ fixed bounds by binary search, and what lies between two bounds is looked up
 in the other shards' runs, again by binary search.
 
 Hashes of contexts and strings have 64 bits of BLAKE2b and are compared within
-an anchor only, itself a hash of 64 bits over half the string, so that two
+an anchor only, itself a hash of 64 bits over part of the string, so that two
 strings are taken for equal by 128 bits, and by their symbols within a shard.
 Null and empty texts have no bytes and lose none; texts shorter than LENGTH lose
 none.  Rows that repeat an id and a text each count and get the same result.
@@ -458,8 +458,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     keyed = rows.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))  # null ids find their spans as well
-    strings = repeated(keyed, Bytes, length, gram or max(1, length // 2)).withColumn("words", F.lit(False))
-    passages = repeated(keyed, Words, passage, passage // 2 + 1).withColumn("words", F.lit(True))
+    strings = repeated(keyed, Bytes, length, gram or max(1, length * 3 // 8)).withColumn("words", F.lit(False))
+    passages = repeated(keyed, Words, passage, passage // 4 + 1).withColumn("words", F.lit(True))
     spans = strings.unionByName(passages).groupBy("id", "h").agg(F.collect_list(F.struct("words", "first", "last")).alias("spans"))
     joined = packed(keyed).join(spans, ["id", "h"], "left").select("id", "z", "spans")
 
