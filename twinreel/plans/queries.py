@@ -191,7 +191,7 @@ def confirmed_components(spark, sf_dir):
 
 def moved_files(spark, sf_dir):
     """Copies that the confirmed groups lack, found again by content: the table
-    of groups here knows the even ids only."""
+    of groups here lacks the document that each is named by."""
     docs, edges = _copies(spark, sf_dir)
     named = curation.confirmed_components(edges).join(docs.select("id", "path", "content_hash"), "id")
     return curation.moved_files(named.where("component_id <> id"), docs.select("path", "content_hash")).select("path", "component_id", "first_member")
