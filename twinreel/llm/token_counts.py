@@ -13,8 +13,9 @@ a pre-token that ends two characters or more before the edit stays.
 
 Null and empty texts have no tokens.  Edits of a document are applied in their
 order, each to the text that the one before it left; their ranges are clipped
-to it.  A document without edits keeps its count.  Rows keep their
-multiplicity.
+to it.  A document without edits keeps its count, and a null edit changes
+nothing.  Rows keep their multiplicity, very long texts are counted whole, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
