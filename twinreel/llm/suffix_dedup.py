@@ -28,9 +28,11 @@ several shards.  These hand on their distinct strings as sorted hashes, cut at
 fixed bounds by binary search, and what lies between two bounds is looked up
 in the other shards' runs, again by binary search.
 
-Hashes of contexts and strings have 64 bits of BLAKE2b and are compared within
-an anchor only, itself a hash of 64 bits over part of the string, so that two
-strings are taken for equal by 128 bits, and by their symbols within a shard.
+Contexts are compared by polynomial hashes of 64 bits over mixed symbols, which
+strings this short cannot defeat by their structure, and strings of divided
+anchors by 64 bits of BLAKE2b; both within an anchor only, itself a hash of 64
+bits over part of the string.  So two strings are taken for equal by 128 bits, and
+within a shard by their symbols.
 Null and empty texts have no bytes and lose none; texts shorter than LENGTH lose
 none.  Rows that repeat an id and a text each count and get the same result.
 Rows without an id count as one document's where passages are concerned.  Very
@@ -145,13 +147,14 @@ class Anchors:
     def __init__(self, unit: Bytes | Words, length: int, gram: int):
         self.unit, self.length, self.gram, self.rolling = unit, length, gram, Rolling()
 
-    def of(self, symbols: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(hash, anchor, first start, last start) of every context."""
+    def of(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(anchor, context, place, first start, last start), as arrays, of the
+        contexts of each piece."""
         for at in range(0, max(0, len(symbols) - self.length + 1), PIECE):
-            hashes, places, first, last = self._piece(self.unit.values(symbols[at : at + PIECE + self.length - 1]))
-            yield from zip(hashes.tolist(), (places + at).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
+            hashes, contexts, places, first, last = self._piece(self.unit.values(symbols[at : at + PIECE + self.length - 1]))
+            yield hashes, contexts, places + at, first + at, last + at
 
-    def _piece(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _piece(self, values: np.ndarray) -> tuple[np.ndarray, ...]:
         n, gram = len(values), self.gram
         sums = self.rolling.sums(values)
         grams = self.rolling.parts(sums, slice(0, n - gram + 1), slice(gram, n + 1))
@@ -166,7 +169,9 @@ class Anchors:
         least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
         places = (least & np.uint64(POSITION)).astype(np.int64)
         first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-        return grams[places[first]].view(np.int64), places[first], first, np.append(first[1:], starts) - 1
+        last = np.append(first[1:], starts) - 1
+        contexts = self.rolling.parts(sums, first, last + self.length)
+        return grams[places[first]].view(np.int64), contexts.view(np.int64), places[first], first, last
 
 
 def digest(data: bytes) -> int:
@@ -306,15 +311,16 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def anchors(rows: DataFrame, unit: type, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = unit()
-        find, width = Anchors(kind, length, gram), kind.width
+        find = Anchors(kind, length, gram)
         for batch in batches:
             for part in row_slices(batch, 2):
-                out = []
-                for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    symbols = kind.symbols(text.encode())
-                    data = memoryview(symbols).cast("B") if len(symbols) else b""
-                    out += [(doc, h, a, digest(data[s * width : (t + length) * width]), p, s, t) for a, p, s, t in find.of(symbols)]
-                yield table_of(out, ANCHOR_ARROW)
+                found = [
+                    (np.full(len(piece[0]), doc), np.full(len(piece[0]), h), *piece)
+                    for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True)
+                    for piece in find.of(kind.symbols(text.encode()))
+                ]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=ANCHOR_ARROW)
 
     return map_arrow(rows, run, ANCHOR)
 
@@ -458,7 +464,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     keyed = rows.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))  # null ids find their spans as well
-    strings = repeated(keyed, Bytes, length, gram or max(1, length * 3 // 8)).withColumn("words", F.lit(False))
+    strings = repeated(keyed, Bytes, length, gram or max(1, length // 4)).withColumn("words", F.lit(False))
     passages = repeated(keyed, Words, passage, passage // 4 + 1).withColumn("words", F.lit(True))
     spans = strings.unionByName(passages).groupBy("id", "h").agg(F.collect_list(F.struct("words", "first", "last")).alias("spans"))
     joined = packed(keyed).join(spans, ["id", "h"], "left").select("id", "z", "spans")
