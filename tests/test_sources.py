@@ -48,8 +48,10 @@ def test_cache_store_and_stream(spark, tmp_path):
         spark.createDataFrame(rows, "path string, mtime bigint").write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema("path string, mtime bigint").parquet(f"{tmp_path}/in")
         made = lambda df, n=n: df.select("path", "mtime", F.lit(n).alias("duration"), F.lit(None).cast("array<bigint>").alias("hash"), F.lit(None).cast("string").alias("err_kind"), F.lit(None).cast("string").alias("err_msg"))
-        updates.maintain(stream, store.load, store.save, made, f"{tmp_path}/check").awaitTermination()
+        updates.maintain(stream, store.load, store.append, made, f"{tmp_path}/check").awaitTermination()
     assert {r["path"]: (r["mtime"], r["duration"]) for r in store.load().collect()} == {"a": (1, 0), "b": (9, 1), "c": (1, 1)}
+    store.save(store.load().where("path <> 'a'"))
+    assert {r["path"] for r in store.load().collect()} == {"b", "c"}
     with pytest.raises(cache_store.CacheMismatch):
         cache_store.CacheStore(spark, f"{tmp_path}/cache", duration=5.0).load()
 

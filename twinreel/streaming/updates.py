@@ -16,16 +16,16 @@ from ..operators import cache as caches
 from ..operators.search import search_with_references
 
 
-def maintain(listing: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], compute: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def maintain(listing: DataFrame, load: Callable[[], DataFrame], append: Callable[[DataFrame], None], compute: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Upsert what a stream of (path, mtime) lists into the cache.  ``compute``
-    makes cache rows of the paths that are new or changed; a batch that runs again
-    finds them unchanged and writes the same."""
+    makes cache rows of the paths that are new or changed, and only those are
+    written; a batch that runs again finds them unchanged and writes none."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        known = load()
         latest = rows.groupBy("path").agg(F.max("mtime").alias("mtime"))
+        known = load().join(latest.select("path"), "path", "left_semi")
         todo = caches.changes(latest, known).where("action = 'update'")
-        save(caches.upsert(known, compute(latest.join(todo, "path", "left_semi"))))
+        append(compute(latest.join(todo, "path", "left_semi")))
 
     return listing.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
