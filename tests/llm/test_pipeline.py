@@ -36,7 +36,7 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_stages_on_odd_rows(spark, tmp_path, rows):
     """Nulls, empty and long texts, repeated rows, clashing columns; no rows."""
-    labels(spark, [(4, 0, 1), (7, 1, 1), (None, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
+    labels(spark, [(4, 0, 1), (7, 0, 1), (None, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, PASSAGE), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     first = docs = odd(spark, rows)
     for name, stage in corpus_pipeline.STAGES:
