@@ -43,7 +43,7 @@ def frame_resize(spark, sf_dir):
 
 
 def _words(hashed: DataFrame) -> DataFrame:
-    return hashed.select("path", "err_kind", F.posexplode_outer("hash").alias("place", "word"))
+    return hashed.select("path", F.posexplode("hash").alias("place", "word"))
 
 
 def dct_hash(spark, sf_dir):
@@ -51,20 +51,24 @@ def dct_hash(spark, sf_dir):
     return _words(hashing.hash_videos(_videos(spark, sf_dir, 16), hashing.CreationOptions(cropdetect="none")))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/doc/"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+
+
 def path_hash(spark, sf_dir):
     """From a path to its hash: probe, sampling plan, frames, transform."""
-    files = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("payload")
-    )
-    return _words(hashing.hash_paths(files, BytesFrames(), hashing.CreationOptions(cropdetect="none")))
+    return _words(hashing.hash_paths(_files(spark, sf_dir), BytesFrames(), hashing.CreationOptions(cropdetect="none")))
+
+
+def path_errors(spark, sf_dir):
+    """Why a path has no hash."""
+    return hashing.hash_paths(_files(spark, sf_dir), BytesFrames()).where("err_kind is not null").select("path", "err_kind")
 
 
 def path_hash_cropped(spark, sf_dir):
     """As ``path_hash``, with the letterbox cut off."""
-    files = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("payload")
-    )
-    return _words(hashing.hash_paths(files, BytesFrames()))
+    return _words(hashing.hash_paths(_files(spark, sf_dir), BytesFrames()))
 
 
 def hash_bits(spark, sf_dir):
@@ -116,37 +120,35 @@ small AS (SELECT doc_id, y, wx.o AS x, sum(wx.w * v) AS v FROM tall JOIN weights
 SELECT '/doc/' || doc_id AS path, CAST(y * 4 + x AS INT) AS place, CAST(greatest(0, least(255, round_even(v, 0))) AS BIGINT) AS value FROM small"""
 
 
-def _hashes(cube: str, failed: str) -> str:
-    """Words of the transform of ``cube`` (doc_id, t, y, x, v), and other rows."""
+def _hashes(cube: str) -> str:
+    """Words of the transform of ``cube`` (doc_id, t, y, x, v)."""
     basis = "cos(pi() * {k} * (2 * {x} + 1) / 32)"
     return f"""{cube},
 a AS (SELECT doc_id, k AS kt, y, x, sum(v * {basis.format(k="k", x="t")}) AS v FROM cube, range(10) r(k) GROUP BY ALL),
 b AS (SELECT doc_id, kt, k AS kx, y, sum(v * {basis.format(k="k", x="x")}) AS v FROM a, range(10) r(k) GROUP BY ALL),
 c AS (SELECT doc_id, kt * 100 + kx * 10 + k AS i, sum(v * {basis.format(k="k", x="y")}) AS v FROM b, range(10) r(k) GROUP BY ALL),
 w AS (SELECT doc_id, i // 64 AS place, sum(CASE WHEN v > 1e-6 THEN CAST(1 AS HUGEINT) << CAST(i % 64 AS INT) ELSE 0 END) AS word FROM c GROUP BY ALL)
-SELECT '/doc/' || doc_id AS path, NULL AS err_kind, CAST(place AS INT) AS place,
-  CAST(CASE WHEN word >= 9223372036854775808 THEN word - 18446744073709551616 ELSE word END AS BIGINT) AS word FROM w
-UNION ALL {failed}"""
+SELECT '/doc/' || doc_id AS path, CAST(place AS INT) AS place,
+  CAST(CASE WHEN word >= 9223372036854775808 THEN word - 18446744073709551616 ELSE word END AS BIGINT) AS word FROM w"""
 
 
 _DCT_HASH = _hashes(
-    f"WITH {_pixels(16)}, cube AS (SELECT doc_id, f AS t, y, x, v - 128 AS v FROM px WHERE doc_id IN (SELECT doc_id FROM data WHERE n >= 4096))",
-    "SELECT '/doc/' || doc_id, 'NotEnoughFrames', NULL, NULL FROM data WHERE n < 4096",
+    f"WITH {_pixels(16)}, cube AS (SELECT doc_id, f AS t, y, x, v - 128 AS v FROM px WHERE doc_id IN (SELECT doc_id FROM data WHERE n >= 4096))"
 )
 #: Seconds are hundredths of the bytes; the first frame is the start times the rate.
-_PATH_HASH = _hashes(
-    f"""WITH {_BYTES},
+_PLANNED = f"""WITH {_BYTES},
 timed AS (SELECT *, n // 256 AS whole, CASE WHEN n = 0 THEN 999 ELSE CAST(n AS DOUBLE) / 100 END AS long, CAST(n AS DOUBLE) / 100 AS s FROM data),
 planned AS (
   SELECT *, CASE WHEN s = 2 THEN 2147483647 ELSE least(2147483647, floor(CASE WHEN s < 2 THEN 64 WHEN s < 10 THEN 64 / (s - 2) ELSE 6.4::DOUBLE END * 16384)) END / 16384::DOUBLE AS fps,
-    CASE WHEN s < 10 THEN 0 WHEN s < 25 THEN greatest(0, s - 12) ELSE 15 END AS seek FROM timed),
+    CASE WHEN s < 10 THEN 0 WHEN s < 25 THEN greatest(0, s - 12) ELSE 15 END AS seek FROM timed)"""
+_PATH_HASH = _hashes(
+    f"""{_PLANNED},
 cube AS (
   SELECT doc_id, t, y, x, CAST('0x' || substr(h, 2 * (((CAST(trunc(seek * fps) AS BIGINT) + t) % whole) * 256 + y * 16 + x) + 1, 2) AS INT) - 128 AS v
-  FROM (SELECT * FROM planned WHERE long >= 1 AND whole > 0), range(16) a(t), range(16) b(y), range(16) c(x))""",
-    "SELECT '/doc/' || doc_id, CASE WHEN long < 1 THEN 'NotVideo' ELSE 'NotEnoughFrames' END, NULL, NULL FROM planned WHERE long < 1 OR whole = 0",
+  FROM (SELECT * FROM planned WHERE long >= 1 AND whole > 0), range(16) a(t), range(16) b(y), range(16) c(x))"""
 )
 
-ALL = (letterbox, motion_crop, frame_change, frame_resize, dct_hash, path_hash, path_hash_cropped, hash_bits)
+ALL = (letterbox, motion_crop, frame_change, frame_resize, dct_hash, path_hash, path_errors, path_hash_cropped, hash_bits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -160,6 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "frame_resize": _RESIZE,
         "dct_hash": _DCT_HASH,
         "path_hash": _PATH_HASH,
+        "path_errors": f"{_PLANNED} SELECT '/doc/' || doc_id AS path, CASE WHEN long < 1 THEN 'NotVideo' ELSE 'NotEnoughFrames' END AS err_kind FROM planned WHERE long < 1 OR whole = 0",
         "hash_bits": """SELECT vec_id AS id, count(*) AS n, CAST(min(i) AS INT) AS lowest, CAST(max(i) AS INT) AS highest
 FROM embeddings, range(64) r(i) WHERE embedding[i + 1] > 0 GROUP BY vec_id""",
     }
