@@ -14,9 +14,9 @@ from pyspark.sql.types import StructType
 
 from ..operators.components import connected_components
 from ..shipping import ship
-from ..storage import discard, materialize, shared_dir
+from ..storage import discard, materialize, shared_dir, small_broadcasts
 
-__all__ = ["connected_components", "discard", "map_arrow", "map_texts", "materialize", "row_slices", "shared_dir", "text_or_empty"]
+__all__ = ["connected_components", "discard", "map_arrow", "map_texts", "materialize", "row_slices", "shared_dir", "small_broadcasts", "text_or_empty"]
 
 #: Text bytes that a mapper turns into one output batch.
 BATCH_BYTES = 4 << 20

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, map_arrow, map_texts, materialize
+from .common import connected_components, discard, map_arrow, map_texts, materialize, small_broadcasts
 
 #: x^11+x^10+x^6+x^5+x^4+x^2+1 generates the Golay code (fixed value).
 GENERATOR = 0b110001110101
@@ -200,7 +200,9 @@ def crowded_keys(nodes: DataFrame, keys: Callable, words: list[str], radius: int
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "check")).alias("p")
     shared = made.groupBy("key").agg(pivot, F.max("node").alias("last"), F.min("node").alias("first"), F.bit_or("side").alias("sides"), F.count("*").alias("crowd"))
     shared = shared.where(f"first <> last and sides = {NEAR_SIDE | ALL_SIDE}").select("key", F.col("p.node").alias("pivot"), F.col("p.check").alias("pivot_check"), "crowd")
-    return materialize(made.join(shared, "key").where(f"crowd > 2 or ({near_pivot(radius)})"), name)
+    with small_broadcasts(nodes.sparkSession):
+        # Spark takes what is made of the nodes for as small as them, and would broadcast it
+        return materialize(made.hint("merge").join(shared, "key").where(f"crowd > 2 or ({near_pivot(radius)})"), name)
 
 
 def near_pivot(radius: int) -> str:
@@ -247,7 +249,7 @@ def crossing_pairs(split: DataFrame, radius: int) -> DataFrame:
     ends = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")]
 
     def met(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-        return a.alias("a").join(b.alias("b"), F.expr(f"a.{on} = b.{on} and {link}")).select(*ends)
+        return a.hint("merge").alias("a").join(b.alias("b"), F.expr(f"a.{on} = b.{on} and {link}")).select(*ends)
 
     out = met(near.where("root <> main"), every, "key").unionByName(met(near.where("root = main"), every.where("root <> main"), "key"))
     if not many.isEmpty():
@@ -261,10 +263,11 @@ def components(nodes: DataFrame, keys: Callable, words: list[str], radius: int,
     ``check`` differs in ``radius`` bits at most."""
     crowd = crowded_keys(nodes, keys, words, radius, f"{name}-keys")
     near = crowd.where(near_pivot(radius)).select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
-    spokes = materialize(near.distinct(), f"{name}-spokes")
-    split = materialize(split_keys(crowd, connected_components(spokes, f"{name}-roots")), f"{name}-split")
-    discard(crowd)
-    linked = connected_components(spokes.unionByName(crossing_pairs(split, radius)), f"{name}-all")
+    with small_broadcasts(nodes.sparkSession):
+        spokes = materialize(near.distinct(), f"{name}-spokes")
+        split = materialize(split_keys(crowd, connected_components(spokes, f"{name}-roots")), f"{name}-split")
+        discard(crowd)
+        linked = connected_components(spokes.unionByName(crossing_pairs(split, radius)), f"{name}-all")
     discard(spokes, split)
     return linked
 
@@ -278,6 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = nodes.join(linked, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    found = materialize(rows.join(named, "fp").select("id", "fp", "component_id"), "simhash-groups")
+    with small_broadcasts(docs.sparkSession):
+        found = materialize(rows.join(named, "fp").select("id", "fp", "component_id"), "simhash-groups")
     discard(rows)
     return found

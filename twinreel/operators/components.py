@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize
+from ..storage import discard, materialize, small_broadcasts
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         """The pairs as a table, and a mark of them, which is made on the way."""
         seen = Observation()
         marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        out = materialize(df.observe(seen, *marks), name)
+        with small_broadcasts(edges.sparkSession):
+            out = materialize(df.observe(seen, *marks), name)
         return out, (seen.get["n"], seen.get["s"])
 
     pairs, before = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())

@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_SHARED_DIR = "/tmp/twinreel-shared"
 #: Has Spark remove the shuffle files of a query when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Up to which size Spark sends one side of a join through the driver.
+BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
+ADAPTIVE_BROADCAST = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: Compressed bytes that may go that way here; as a hashed table in the driver's
+#: memory they are several times as many.
+BROADCAST_BYTES = 256 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +56,30 @@ def shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+def _bytes(spark: SparkSession, size: str) -> int:
+    return -1 if size.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Within, no join sends more than BROADCAST_BYTES through the driver, unless
+    it asks to, whatever the session allows.  For tables that grow with the input:
+    rounds of many joins would fill the driver's memory with hashed tables."""
+    before = {key: spark.conf.get(key, None) for key in (BROADCAST, ADAPTIVE_BROADCAST)}  # none where not set
+    allowed = {BROADCAST: spark.conf.get(BROADCAST), ADAPTIVE_BROADCAST: before[ADAPTIVE_BROADCAST]}
+    for key, value in allowed.items():
+        if value is not None:
+            spark.conf.set(key, str(min(_bytes(spark, value), BROADCAST_BYTES)))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
