@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinreel import storage
 from twinreel.llm import bpe, decontam, exact_dedup, licenses, near_dedup, sharding, simhash, suffix_dedup, token_counts, toxicity, warc
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -683,3 +684,24 @@ def test_near_dedup_without_ids(spark):
     rows = [(None, " ".join(words)), (None, " ".join([*words, "more"])), (3, " ".join([*words, "less"])), (4, prose(50, 32)), (None, prose(50, 33))]
     got = Counter((r["id"], r["group_id"]) for r in near_dedup.groups(odd(spark, rows)).collect())
     assert got == Counter({(None, 3): 2, (3, 3): 1, (4, 4): 1, (None, None): 1})
+
+
+def test_broadcasts_are_bounded_whatever_the_session_allows(spark):
+    before = spark.conf.get(storage.BROADCAST)
+    with storage.small_broadcasts(spark):
+        assert int(spark.conf.get(storage.BROADCAST)) == storage.BROADCAST_BYTES < int(before.rstrip("b"))
+    assert spark.conf.get(storage.BROADCAST) == before
+
+
+def test_rows_made_of_nodes_are_not_broadcast(spark, monkeypatch):
+    """Spark takes them for as few bytes as the nodes, of which each makes some sixty."""
+    plan, seen = lambda df: df._jdf.queryExecution().executedPlan().toString(), []
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: seen.append(plan(df)))
+    node = spark.range(50).select(F.xxhash64("id").alias("node"))
+    simhash.crowded_keys(node.select("node", F.col("node").alias("check"), F.col("node").alias("word")), simhash.complete_keys, ["word"], simhash.RADIUS, "keys")
+    split = node.selectExpr("1L key", "3Y side", "node", "node check", "node root", "0L main", "50L crowd", f"{simhash.CROSSING + 1} * 50 pairs")
+    seen.append(plan(simhash.crossing_pairs(split, simhash.RADIUS)))
+    seen.append(plan(near_dedup.shared_keys(node.selectExpr("explode(array(node, 1L)) key", "node"))))
+    assert len(seen) == 3 and "mapinarrow" in seen[1].lower()
+    assert "Broadcast" not in seen[0] and "Broadcast" not in seen[2]
+    assert "code" not in "".join(line for line in seen[1].splitlines() if "BroadcastHashJoin" in line)
