@@ -466,6 +466,45 @@ def test_repeated_strings_against_counting():
             assert flags.tolist() == [len(where[c[i : i + length]]) > 1 for i in range(len(c) - length + 1)]
 
 
+def test_suffixes_are_sorted_to_the_length_only():
+    r = random.Random(5)
+    for alphabet in (b"ab", bytes(range(256))):
+        symbols = np.array([r.choice(alphabet) for _ in range(300)] * 2, np.int32)
+        for depth in (1, 2, 6, 23, 64, 100):
+            rank, shared = suffix_dedup.suffix_ranks(symbols, depth)
+            prefixes = [symbols[i : i + depth].tolist() for i in range(len(symbols))]
+            counts = Counter(map(tuple, prefixes))
+            assert sorted(shared.tolist()) == [i for i, p in enumerate(prefixes) if counts[tuple(p)] > 1]
+            order = sorted(prefixes)
+            assert rank.tolist() == [order.index(p) for p in prefixes]
+
+
+@pytest.mark.parametrize("unit", [suffix_dedup.Bytes, suffix_dedup.Words])
+def test_contexts_left_out_beforehand_hold_nothing(unit):
+    r, length, gram, left_out = random.Random(9), 24, 6, 0
+    kind = unit()
+    shared = [bytes(r.choice(b"abc") for _ in range(r.randint(18, 60))) for _ in range(6)]
+    block = []
+    for doc in range(60):
+        text = b"".join(r.choice([*shared, bytes(r.choice(b"abc") for _ in range(20))]) for _ in range(8))
+        symbols = kind.symbols(text if unit is suffix_dedup.Bytes else b" ".join(bytes([c]) for c in text))
+        for piece in suffix_dedup.Anchors(kind, length, gram).of(symbols):
+            for anchor, _, place, first, last in zip(*(x.tolist() for x in piece), strict=True):
+                block.append((anchor, 0, 1 + (anchor % 7 == 0), r.random() < 0.2, doc, 0, first, place - first, symbols[first : last + length].tobytes()))
+    block.sort(key=lambda b: b[:2])
+    kept = suffix_dedup.promising(block, length, gram, kind.width)
+    assert len(kept) < len(block) and [b for b in block if b[2] > 1] == [b for b in kept if b[2] > 1]
+
+    def found(rows):
+        seen = defaultdict(set)
+        strings = [(i, b, k, b[-1][k * kind.width : (k + length) * kind.width]) for i, b in enumerate(rows) for k in range(len(b[-1]) // kind.width - length + 1)]
+        for i, *_, s in strings:
+            seen[s].add(i)
+        return {(b[4], b[6] + k) for _, b, k, s in strings if len(seen[s]) > 1 and not b[3]}
+
+    assert found(kept) == found(block) != set()
+
+
 def test_words_as_symbols(monkeypatch):
     text = " \n".join(LEXICON[:300]).encode() + b"\t"
     whole = suffix_dedup.Words().symbols(text)

@@ -17,11 +17,12 @@ several times are repeated as a whole.  Both are settled by counting hashes,
 and only anchors with different contexts go on, with one copy of each context.
 
 *Suffix arrays.*  A shard of contexts is one array of symbols with separators.
-Larsson-Sadakane refinement sorts its suffixes in numpy: symbols are packed to
-begin with, and each round doubles the sorted prefix by ranks, but moves only
-suffixes whose rank is shared.  Kasai's algorithm, run over all contexts side
-by side, gives the common prefixes of neighbours; a string is repeated if it
-shares its whole length with either neighbour.
+Larsson-Sadakane refinement sorts its suffixes in numpy, by as many symbols as
+a string has: symbols are packed to begin with, and each round doubles the sorted
+prefix by ranks, up to the length exactly, but moves only suffixes whose rank is
+shared.  Suffixes that share theirs in the end begin with the same string.
+Before, contexts leave that have no stretch around their anchor with another one
+of it, which all strings of that place would cover.
 
 *Merging.*  An anchor with more than SHARD_CONTEXTS contexts is divided over
 several shards.  These hand on their distinct strings as sorted hashes, cut at
@@ -60,6 +61,8 @@ LENGTH = 400
 PASSAGE = 51
 #: Contexts of one anchor that one shard holds at most.
 SHARD_CONTEXTS = 512
+#: Ranges of an anchor's offsets in which contexts are compared beforehand.
+CUTS = 4
 #: Symbols that one suffix array is built over, unless one context is longer.
 BLOCK_SYMBOLS = 1 << 20
 #: Bytes of a text that are anchored at once; a position takes 24 bits.
@@ -178,12 +181,13 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
-def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes, no two the same (which Kasai's algorithm relies
-    on); symbols are not negative, and the end sorts before them."""
+def suffix_ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of all suffixes by their first ``depth`` symbols, and which suffixes
+    share theirs, those of one rank side by side; symbols are not negative, and
+    the end sorts before them."""
     n = len(symbols)
     bits = int(symbols.max(initial=0) + 1).bit_length()
-    packed = 63 // bits
+    packed = min(63 // bits, depth)
     padded = np.append(symbols.astype(np.int64) + 1, np.zeros(packed, np.int64))
     keys = np.zeros(n, np.int64)
     for i in range(packed):
@@ -191,16 +195,17 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
     rank, where = _groups(keys[order], np.zeros(n, np.int64), order, n)
     h = packed
-    while len(where):
-        follow = where + h
+    while len(where) and h < depth:
+        step = min(h, depth - h)  # the last round ends at depth exactly
+        follow = where + step
         inside = follow < n
         key = np.full(len(where), -1, np.int64)
         key[inside] = rank[follow[inside]]
         order = np.argsort(rank[where] * (n + 1) + key + 1)  # within groups, which keep their places
         where = where[order]
         rank, where = _refine(rank, where, key[order])
-        h *= 2
-    return rank
+        h += step
+    return rank, where
 
 
 def _groups(keys: np.ndarray, base: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,35 +231,6 @@ def _refine(rank: np.ndarray, where: np.ndarray, key: np.ndarray) -> tuple[np.nd
     return rank, where[~alone]
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
-    """Kasai: the prefix, up to ``cap``, that a suffix shares with the one
-    before it in ``order``, for the first ``sizes`` suffixes of each context;
-    all contexts advance side by side."""
-    n = len(symbols)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
-    longest_first = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[longest_first], sizes[longest_first]
-    held = np.zeros(len(starts), np.int64)
-    padded = np.append(symbols, np.full(cap + 1, symbols.max(initial=0) + 1, symbols.dtype))
-    for offset in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -offset, side="left"))  # contexts longer than offset
-        at = starts[:live] + offset
-        other = before[at]
-        held = np.maximum(held[:live] - 1, 0)
-        held[other < 0] = 0
-        grow = np.flatnonzero((other >= 0) & (held < cap))
-        while len(grow):
-            a, b = at[grow] + held[grow], other[grow] + held[grow]
-            same = (padded[a] == padded[b]) & (a < n) & (b < n) & (padded[a] > 0)
-            grow = grow[same]
-            held[grow] += 1
-            grow = grow[held[grow] < cap]
-        out[at] = held
-    return out
-
-
 def repeated_strings(contexts: list[np.ndarray], length: int, documents: list[int] | None = None) -> list[np.ndarray]:
     """For each context a flag for every string of ``length`` symbols in it:
     whether it starts anywhere else in these contexts, or, given the contexts'
@@ -267,23 +243,37 @@ def repeated_strings(contexts: list[np.ndarray], length: int, documents: list[in
     inside = np.ones(len(symbols), bool)
     inside[ends - 1] = False
     symbols[inside] = numbers + 1
-    rank = suffix_ranks(symbols)
-    order = np.empty(len(rank), np.int64)
-    order[rank] = np.arange(len(rank))
-    shared = common_prefixes(symbols, order, ends - sizes, sizes - length, length)
-    full = shared >= length
+    rank, shared = suffix_ranks(symbols, length)
+    repeated = np.zeros(len(rank), bool)
     if documents is None:
-        repeated = full.copy()
-        repeated[order[:-1]] |= full[order[1:]]
-    else:
-        heads = np.flatnonzero(~full[order])  # classes of suffixes that share the length
-        owner = np.repeat(np.array(documents, np.int64), sizes)[order]
-        several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads) if len(heads) else np.zeros(0, bool)
-        repeated = np.empty(len(rank), bool)
-        repeated[order] = np.repeat(several, np.diff(np.append(heads, len(rank))))
+        repeated[shared] = True
+    elif len(shared):
+        heads = np.flatnonzero(np.append(True, np.diff(rank[shared]) != 0))
+        owner = np.repeat(np.array(documents, np.int64), sizes)[shared]
+        several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
+        repeated[shared] = np.repeat(several, np.diff(np.append(heads, len(shared))))
     return [repeated[end - size : max(end - size, end - length)] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
+def promising(block: list[tuple], length: int, gram: int, width: int) -> list[tuple]:
+    """Contexts that another one of their anchor and shard may share a string
+    with.  Equal strings have the anchor at the same offset; so for offsets
+    between two of CUTS both have the symbols that every string of such offsets
+    covers, and a context that has them with no other one holds nothing to find.
+    Divided anchors stay whole, as their other shards have to see all strings."""
+    cuts = [(length - gram) * i // CUTS for i in range(CUTS + 1)]
+    stretches: dict[tuple, list[int]] = {}
+    for i, (anchor, shard, shards, _, _, _, _, place, data) in enumerate(block):
+        if shards == 1:
+            least = place + length - len(data) // width  # the anchor's offset in the last string; in the first it is place
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if least <= high and low <= place:
+                    stretches.setdefault((anchor, shard, low, data[(place - low) * width : (place - high + length) * width]), []).append(i)
+    # with no unsettled context there is no one to tell
+    kept = {i for group in stretches.values() if len(group) > 1 and not all(block[i][3] for i in group) for i in group}
+    return [b for i, b in enumerate(block) if b[2] > 1 or i in kept]
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """First and last place of every run of true flags."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -295,8 +285,8 @@ ANCHOR_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in ANCHOR.split(", ")
 SPAN = "id bigint, h bigint, first bigint, last bigint"
 #: Stands for "several documents" beside any document's number.
 MANY = -(1 << 62)
-CONTEXT_ARROW = pa.schema([("anchor", pa.int64()), ("shard", pa.int64()), ("shards", pa.int64()), ("settled", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
-CONTEXT = "anchor bigint, shard bigint, shards bigint, settled boolean, id bigint, h bigint, first bigint, bytes binary"
+CONTEXT_ARROW = pa.schema([("anchor", pa.int64()), ("shard", pa.int64()), ("shards", pa.int64()), ("settled", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+CONTEXT = "anchor bigint, shard bigint, shards bigint, settled boolean, id bigint, h bigint, first bigint, place bigint, bytes binary"
 FOUND = "id bigint, h bigint, first bigint, last bigint, anchor bigint, part int, shard bigint, hashes binary, owners binary"
 FOUND_ARROW = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("shard", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary())])
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, n_passages bigint, kept binary"
@@ -340,7 +330,7 @@ def packed(rows: DataFrame) -> DataFrame:
 
 def context_rows(rows: DataFrame, needed: DataFrame, unit: type, length: int) -> DataFrame:
     """The symbols of the contexts that go into suffix arrays, as bytes."""
-    wanted = needed.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "shard", "shards", "settled", "first", "last")).alias("wanted"))
+    wanted = needed.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "shard", "shards", "settled", "first", "last", "place")).alias("wanted"))
     # repeated rows ask once
     joined = packed(rows).join(wanted, ["id", "h"]).dropDuplicates(["id", "h"])
 
@@ -353,22 +343,25 @@ def context_rows(rows: DataFrame, needed: DataFrame, unit: type, length: int) ->
                 out = []
                 for doc, h, z, wants in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
                     data = kind.symbols(unpack(z))
-                    out += [(w["anchor"], w["shard"], w["shards"], w["settled"], doc, h, w["first"], data[w["first"] : w["last"] + length].tobytes()) for w in wants]
+                    out += [(w["anchor"], w["shard"], w["shards"], w["settled"], doc, h, w["first"], w["place"] - w["first"], data[w["first"] : w["last"] + length].tobytes()) for w in wants]
                 yield table_of(out, CONTEXT_ARROW)
 
     return map_arrow(joined.select("id", "h", "z", "wanted"), run, CONTEXT)
 
 
-def search(contexts: DataFrame, unit: type, length: int) -> DataFrame:
+def search(contexts: DataFrame, unit: type, length: int, gram: int) -> DataFrame:
     """Spans that a shard finds by its suffix array, and the sorted strings of
     anchors that several shards divide."""
     width, across = unit.width, unit.across
 
     def solve(block: list[tuple]) -> list[tuple]:
         out, divided = [], {}
+        block = promising(block, length, gram, width)
+        if not block:
+            return out
         symbols = [np.frombuffer(b[-1], np.uint64 if width == 8 else np.uint8) for b in block]
         owners = [MANY - i if b[3] else b[4] for i, b in enumerate(block)] if across else None
-        for (anchor, shard, shards, settled, doc, h, first, data), flags in zip(block, repeated_strings(symbols, length, owners), strict=True):
+        for (anchor, shard, shards, settled, doc, h, first, _, data), flags in zip(block, repeated_strings(symbols, length, owners), strict=True):
             if not settled:
                 out += [(doc, h, first + a, first + b, None, None, None, None, None) for a, b in runs(flags)]
             if shards > 1:
@@ -431,7 +424,7 @@ def repeated(rows: DataFrame, unit: type, length: int, gram: int) -> DataFrame:
     every = materialize(anchors(rows, unit, length, gram), "suffix-anchors")
     # what several rows have, or, across documents, rows of several ids
     several = (F.min("id") != F.max("id")) if unit.across else (F.count("*") > 1)
-    one = F.min(F.struct("id", "h", "first", "last")).alias("one")
+    one = F.min(F.struct("id", "h", "first", "last", "place")).alias("one")
     ids = [F.min("id").alias("low"), F.max("id").alias("high")] if unit.across else []
     contexts = every.groupBy("anchor", "context").agg(several.alias("settled"), F.count("*").alias("n"), one, *ids)
     shared = F.col("low") != F.col("high") if unit.across else F.col("total") > 1
@@ -442,13 +435,13 @@ def repeated(rows: DataFrame, unit: type, length: int, gram: int) -> DataFrame:
     mixed = status.where("kinds > 1")
     if unit.across:  # a document may have a context several times over
         own = every.join(mixed.where("not settled").select("anchor", "context", "settled", "kinds"), ["anchor", "context"])
-        columns = ["anchor", "context", "settled", "kinds", "id", "h", "first", "last"]
+        columns = ["anchor", "context", "settled", "kinds", "id", "h", "first", "last", "place"]
         mixed = mixed.where("settled").select(columns).unionByName(own.select(columns))
     shards = F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("bigint")
-    needed = mixed.select("anchor", F.pmod("context", shards).alias("shard"), shards.alias("shards"), "settled", "id", "h", "first", "last")
+    needed = mixed.select("anchor", F.pmod("context", shards).alias("shard"), shards.alias("shards"), "settled", "id", "h", "first", "last", "place")
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     contexts = context_rows(rows, needed, unit, length).repartition(spread, "anchor", "shard").sortWithinPartitions("anchor", "shard")
-    found = materialize(search(contexts, unit, length), "suffix-found")
+    found = materialize(search(contexts, unit, length, gram), "suffix-found")
     out = whole.unionByName(found.where("anchor is null").select("id", "h", "first", "last"))
     if not found.where("anchor is not null").isEmpty():
         out = out.unionByName(merge(found, unit))
