@@ -113,6 +113,35 @@ def test_merges_against_a_plain_loop():
         assert bpe.merge(s, merges) == plain(s)
 
 
+@pytest.mark.parametrize("wide", [2, 3, 32])
+def test_merges_through_several_levels(monkeypatch, wide):
+    monkeypatch.setattr(bpe, "WIDE", wide)
+    r = random.Random(wide)
+    for kinds in (4, 12, 40):
+        merges = {}
+        for rank in range(60):
+            merges.setdefault(r.randrange(kinds) << bpe.BITS | r.randrange(kinds), rank << bpe.BITS | r.randrange(kinds))
+        for n in (2, wide, wide + 1, wide + 2, wide * wide + 1, wide * wide + 2, 300):
+            want = s = [r.randrange(kinds) for _ in range(n)]
+            while True:
+                pairs = [merges.get(a << bpe.BITS | b, bpe.NONE) for a, b in zip(want, want[1:])]
+                if not pairs or (low := min(pairs)) == bpe.NONE:
+                    break
+                i = pairs.index(low)
+                want = [*want[:i], low & (1 << bpe.BITS) - 1, *want[i + 2 :]]
+            assert bpe.merge(s, merges) == want
+
+
+def test_words_of_the_basic_plane_are_cut_alike():
+    own, r = bpe.load(WORD), random.Random(12)
+    pool = [chr(c) for c in range(1, bpe.PLANE) if not 0xD800 <= c < 0xE000]
+    texts = ["don't", "it's'", "x\uffff1", "'re'", "\U0001e900a", "a\U00010000"] + ["".join(r.choice(pool[: r.choice([127, 800, 70_000])]) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    for text in texts:
+        assert max(text) >= bpe.BEYOND or own.plain_words.findall(text) == own.words.findall(text), text.encode("unicode_escape")
+    every = "".join(pool)
+    assert own.plain_words.findall(every) == own.words.findall(every)
+
+
 def test_licenses(docs, empty):
     rows = by_id(licenses.scan(docs).collect())
     assert sum(map(len, rows.values())) == len(ODD) and licenses.scan(empty).count() == 0

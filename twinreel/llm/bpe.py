@@ -4,7 +4,8 @@ Texts are cut at white space, each piece is normalised and cut into
 pre-tokens, and the merges of a pre-token are driven by a segment tree over
 the ranks of its adjacent pairs: the root yields the leftmost pair of lowest
 rank, a merge updates three leaves, and it ends when the root holds no
-mergeable pair.  That is n log n for a pre-token of n bytes, so very long junk
+mergeable pair.  Its nodes have WIDE children, so that few of them are renewed.
+That is n log n for a pre-token of n bytes, so very long junk
 words are no trouble.  A bounded memo keeps the ids of frequent pieces.
 
 Characters are composed and lower-cased, and letters told from others, by the
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -32,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex
-from tokenizers.normalizers import NFC, Lowercase
+from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
 from ..shipping import ship
@@ -43,6 +45,10 @@ MEMO_PIECES = 400_000
 #: Pieces that a worker keeps from one task to the next.
 KEPT_PIECES = 100_000
 
+#: Characters of the basic plane, and the first beyond.
+PLANE = 0x10000
+BEYOND = chr(PLANE)
+
 #: White space as Unicode has it; str.split() also cuts at the four separators
 #: below, which here belong to words.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -67,57 +73,63 @@ BITS = 20
 NONE = 1 << 62
 
 
+#: Children of a node of the segment tree.
+WIDE = 32
+
+
 def merge(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """Apply ``merges``, packed (left, right) to packed (rank, merged), until
     none applies: always the leftmost pair of the lowest rank.
 
-    A minimum segment tree holds ``rank * n + position`` of every adjacent
-    pair, so its root is that pair.  A merge ends the right symbol's pair and
-    renews those at its left end and before it: three point updates, each of
-    which climbs only as far as minima change.
+    The leaves of a minimum segment tree hold what ``merges`` has for every
+    adjacent pair, by its left position, and a node has WIDE children: the way
+    from the root's minimum down to the first child that has it ends at that pair.
+    A merge ends the right symbol's pair and renews those at its left end and
+    before it: three point updates, each of which climbs only as far as minima
+    change.
     """
     n = len(symbols)
     if n < 2:
         return symbols
     get, mask = merges.get, (1 << BITS) - 1
     symbols = symbols[:]
-    made = [get(a << BITS | b, -1) for a, b in zip(symbols, symbols[1:])]  # by left position
-    size = 1 << (n - 2).bit_length()
-    tree = [NONE] * size
-    tree += [NONE if m < 0 else (m >> BITS) * n + i for i, m in enumerate(made)]
-    tree += [NONE] * (2 * size - len(tree))
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    leaves = [get(a << BITS | b, NONE) for a, b in zip(symbols, symbols[1:])]
+    levels = [leaves]
+    while len(levels[-1]) > WIDE:
+        under = levels[-1]
+        levels.append([min(under[i : i + WIDE]) for i in range(0, len(under), WIDE)])
+    root, lower, deep = levels[-1], levels[-2::-1], len(levels) > 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := tree[1]) < NONE:
-        left = low % n
+    while (low := min(root)) < NONE:
+        left = root.index(low)
+        for level in lower:
+            left = level.index(low, left * WIDE)
         right = after[left]
-        symbols[left] = merged = made[left] & mask
+        symbols[left] = merged = low & mask
         symbols[right] = -1
         after[left] = following = after[right]
-        updates = []
         if following < n:
-            updates.append((right, NONE))
+            leaves[right] = NONE
             before[following] = left
-            made[left] = m = get(merged << BITS | symbols[following], -1)
-            updates.append((left, NONE if m < 0 else (m >> BITS) * n + left))
+            leaves[left] = get(merged << BITS | symbols[following], NONE)
         else:
-            updates.append((left, NONE))
+            leaves[left] = NONE
         previous = before[left]
         if previous >= 0:
-            made[previous] = m = get(symbols[previous] << BITS | merged, -1)
-            updates.append((previous, NONE if m < 0 else (m >> BITS) * n + previous))
-        for i, key in updates:
-            i += size
-            while tree[i] != key:
-                tree[i] = key
-                if i == 1:
-                    break
-                other = tree[i ^ 1]
-                if other < key:
-                    key = other
-                i >>= 1
+            leaves[previous] = get(symbols[previous] << BITS | merged, NONE)
+        if deep:
+            changed = [left]
+            if following < n:
+                changed.append(right)
+            if previous >= 0:
+                changed.append(previous)
+            for i in changed:
+                for under, over in zip(levels, levels[1:], strict=False):
+                    i //= WIDE
+                    key = min(under[i * WIDE : i * WIDE + WIDE])
+                    if over[i] == key:
+                        break
+                    over[i] = key
     return [s for s in symbols if s >= 0]
 
 
@@ -148,8 +160,8 @@ class Memo:
 
 
 @lru_cache(maxsize=2)
-def letters_of(kind: str) -> str:
-    """Ranges of a class of letters as the tokenizers' own tables have them: the
+def letter_table(kind: str) -> list[bool]:
+    """Which characters are of a class of letters, by the tokenizers' own tables: the
     interpreter's are older, so that what it does not know is asked for there, and
     those of ``regex`` are of another age again."""
     kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
@@ -158,7 +170,13 @@ def letters_of(kind: str) -> str:
     for found, _ in Split(Regex(rf"[^\p{{{kind}}}]+"), "removed").pre_tokenize_str(unknown):
         for c in found:
             inside[ord(c)] = True
-    edges = [c for c in range(0x110001) if (c < 0x110000 and inside[c]) != (c > 0 and inside[c - 1])]
+    return inside
+
+
+def letters_of(kind: str, top: int = 0x110000) -> str:
+    """Ranges of a class of letters below ``top``."""
+    inside = [*letter_table(kind)[:top], False]
+    edges = [c for c in range(top + 1) if inside[c] != (c > 0 and inside[c - 1])]
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
@@ -189,6 +207,8 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"].replace(r"\s", SPACE)
         self.words = regex.compile(pattern.replace(r"\p{L}", letters_of("L")).replace(r"\p{N}", letters_of("N")))
+        # of the basic plane, which the interpreter's own module keeps as bit maps
+        self.plain_words = re.compile(pattern.replace(r"\p{L}", letters_of("L", PLANE)).replace(r"\p{N}", letters_of("N", PLANE)))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.has_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.cut = regex.compile(f"[^{SPACE}]+")
@@ -197,7 +217,7 @@ class WordBpe:
             self.tokens[i] = token
         self.memo = Memo(self.piece)
         # the library's own tables, which are not those of the interpreter
-        self.compose, self.lower = NFC().normalize_str, Lowercase().normalize_str
+        self.normalise = Sequence([NFC(), Lowercase()]).normalize_str
 
     def pieces(self, text: str) -> list[str]:
         """Runs without white space: no token, merge or composition of
@@ -226,8 +246,8 @@ class WordBpe:
                 out.append(array("I", [self.special[part]]).tobytes())
             elif part:
                 # lower case letter by letter: no rule looks at a letter's neighbours
-                plain = part.lower() if part.isascii() else self.lower(self.compose(part))
-                words = [plain] if plain.isalpha() else self.words.findall(plain)
+                plain = part.lower() if part.isascii() else self.normalise(part)
+                words = [plain] if plain.isalpha() else (self.plain_words if max(plain) < BEYOND else self.words).findall(plain)
                 out += [self.memo.miss(w) if w.isascii() and w.isalpha() else self.word(w) for w in words]
         return b"".join(out)
 
